@@ -219,3 +219,77 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     else:
         out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
+
+
+# --- comparing the members of buckets ---------------------------------------------------------
+
+
+def block_join(members: DataFrame, bucket: list[str], key: str, size_col: str, chunk: int, verify, schema: str) -> DataFrame:
+    """Compare the members of every bucket pairwise, in bounded blocks spread over all tasks.
+
+    A bucket of m members is dealt into ceil(m / ``chunk``) chunks by a hash of
+    ``key``; each pair of chunks is a block, so each member goes to that many
+    blocks and no task ever holds more than two chunks of a bucket.
+    ``verify(columns, left)`` gets a block as a dict of Arrow arrays and, for each
+    row, whether it is of the lower chunk (None: one chunk, all pairs); it
+    returns a RecordBatch or None.  It emits what a block knows (links per
+    member, spanning edges), never its pairs.
+    """
+    cols = [c for c in members.columns if c not in (*bucket, size_col)]
+    parts = F.ceil(F.col(size_col) / F.lit(chunk)).cast("int")
+    m = members.withColumn("_n", parts).withColumn("_c", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    m = m.select(*bucket, F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_c", *cols)
+    by = [*bucket, "_lo", "_hi"]
+    m = m.repartition(*by).sortWithinPartitions(*by)
+    names = m.columns
+    n_by = len(by)
+
+    def emit(tables: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(tables)
+        columns = {n: t.column(n).combine_chunks() for n in names}
+        lo, hi = columns["_lo"][0].as_py(), columns["_hi"][0].as_py()
+        left = None if lo == hi else columns["_c"].to_numpy() == lo
+        if left is None or (left.any() and not left.all()):
+            return verify(columns, left)
+        return None
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = [b.column(i).to_numpy(zero_copy_only=False) for i in range(n_by)]
+            cut = np.zeros(b.num_rows, bool)
+            for x in ids:
+                cut[1:] |= x[1:] != x[:-1]
+            first = tuple(x[0] for x in ids)
+            if held and first != last:
+                out, held = emit(held), []
+                if out is not None:
+                    yield out
+            edges = [0, *np.flatnonzero(cut).tolist(), b.num_rows]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                held.append(b.slice(a, z - a))
+                if z < b.num_rows:
+                    out, held = (emit(held) if z - a > 1 or len(held) > 1 else None), []
+                    if out is not None:
+                        yield out
+            last = tuple(x[-1] for x in ids)
+        if held and (out := emit(held)) is not None:
+            yield out
+
+    return m.mapInArrow(run, schema)
+
+
+def local_roots(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric Boolean matrix: the least index of each index's connected group."""
+    root = np.arange(len(linked))
+    while True:
+        low = np.where(linked, root[None, :], len(root)).min(1, initial=len(root))
+        new = np.minimum(root, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
