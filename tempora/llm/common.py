@@ -76,11 +76,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
-    k, step = 1, np.uint64(base)
+    k, step = 1, base
     while k < n:
         m = min(k, n - k)
-        out[k : k + m] = out[:m] * step
-        step = step * step
+        out[k : k + m] = out[:m] * np.uint64(step)
+        step = step * step % (1 << 64)
         k += m
     return out
 

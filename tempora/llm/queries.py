@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, ngram_join, packing, quality_rules, secret_scan
+from . import chat_format, line_dedup, ngram_join, packing, quality_rules, secret_scan
 from .common import table
 
 WS = "[^\\x20\\x09-\\x0D]"
@@ -35,6 +35,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_lines", "n_removed", "emptied")
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
