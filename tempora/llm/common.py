@@ -166,13 +166,13 @@ def unique_by_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return v, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))]) if n else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20):
-    """Cut a batch where its texts reach ``budget`` bytes, so that memory holds whatever the lengths."""
+def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20, rows: int = 2048):
+    """Cut a batch where its texts reach ``budget`` bytes or ``rows`` rows, so that memory holds whatever the lengths."""
     col = batch.column(batch.schema.get_field_index(column))
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     start = acc = 0
     for i, x in enumerate(sizes):
-        if acc and acc + x > budget:
+        if i - start == rows or acc and acc + x > budget:
             yield batch.slice(start, i - start)
             start, acc = i, 0
         acc += int(x)
