@@ -73,7 +73,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_known: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps: 32 MB for each of the two bases.
+_KEPT = 1 << 22
+
+
 def _powers(n: int, base: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    if n <= _KEPT and base in _known and len(_known[base]) >= n:
+        return _known[base][:n]
+    if n <= _KEPT:
+        _known[base] = _make_powers(min(_KEPT, max(2 * n, 1 << 16)), base)
+        return _known[base][:n]
+    return _make_powers(n, base)
+
+
+def _make_powers(n: int, base: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
     k, step = 1, base
@@ -101,9 +116,8 @@ class Words:
         raw = np.frombuffer(arr.buffers()[2], np.uint8)[off[0] : off[-1]] if arr.buffers()[2] is not None and n else np.zeros(0, np.uint8)
         off = off - (off[0] if n else 0)
         if fold and len(raw):
-            keep = ~_IS_PUNCT[raw]
-            c = np.concatenate([[0], np.cumsum(keep)])
-            raw, off = raw[keep], c[off]
+            gone = _IS_PUNCT[raw]
+            raw, off = raw[~gone], off - np.searchsorted(np.flatnonzero(gone), off)
         self.data = raw
         if not len(raw):
             self.start = self.end = np.zeros(0, np.int64)
@@ -116,8 +130,9 @@ class Words:
         last = text & (np.concatenate([~text[1:], [True]]) | edge[1:])
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.offsets = np.searchsorted(self.start, off).astype(np.int64)
-        inv = _powers(len(raw), _INV)
-        acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _powers(len(raw), int(_BASE)), dtype=np.uint64)])
+        power, inv = _powers(len(raw), int(_BASE)), _powers(len(raw), _INV)
+        acc = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * power, dtype=np.uint64, out=acc[1:])
         self.hash = mix((acc[self.end] - acc[self.start]) * inv[self.start] + (self.end - self.start).astype(np.uint64))
 
     def __len__(self) -> int:
@@ -224,6 +239,17 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
 # --- comparing the members of buckets ---------------------------------------------------------
 
 
+def blocks(members: DataFrame, bucket: list[str], key: str, size_col: str, chunk: int) -> tuple[DataFrame, list[str]]:
+    """Members dealt to blocks (see :func:`block_join`), sorted by block within partitions; the columns that name a block."""
+    cols = [c for c in members.columns if c not in (*bucket, size_col)]
+    parts = F.ceil(F.col(size_col) / F.lit(chunk)).cast("int")
+    m = members.withColumn("_n", parts).withColumn("_c", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    m = m.select(*bucket, F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_c", *cols)
+    by = [*bucket, "_lo", "_hi"]
+    return m.repartition(*by).sortWithinPartitions(*by), by
+
+
 def block_join(members: DataFrame, bucket: list[str], key: str, size_col: str, chunk: int, verify, schema: str) -> DataFrame:
     """Compare the members of every bucket pairwise, in bounded blocks spread over all tasks.
 
@@ -235,13 +261,7 @@ def block_join(members: DataFrame, bucket: list[str], key: str, size_col: str, c
     returns a RecordBatch or None.  It emits what a block knows (links per
     member, spanning edges), never its pairs.
     """
-    cols = [c for c in members.columns if c not in (*bucket, size_col)]
-    parts = F.ceil(F.col(size_col) / F.lit(chunk)).cast("int")
-    m = members.withColumn("_n", parts).withColumn("_c", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
-    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    m = m.select(*bucket, F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_c", *cols)
-    by = [*bucket, "_lo", "_hi"]
-    m = m.repartition(*by).sortWithinPartitions(*by)
+    m, by = blocks(members, bucket, key, size_col, chunk)
     names = m.columns
     n_by = len(by)
 

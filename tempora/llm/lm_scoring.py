@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from .common import Words, slices
 
 GROUPS, MEMBERS = 32, 32
+#: A token's group is its upper bits, its place in the group the lower ones.
+SHIFT, LOW = 5, 31
 TOKENS = GROUPS * MEMBERS
 RARE = 64
 TOP = TOKENS - RARE
 SIDE = 2
-DIM, HIDDEN = 12, 24
-BATCH = 4096
+DIM, HIDDEN = 8, 16
+BATCH = 8192
 RATE = 0.1
 ROUNDS = 1
 
@@ -101,8 +103,8 @@ class Network:
     @staticmethod
     def by_group(tokens: np.ndarray):
         """(group, rows) of each group that occurs."""
-        order = np.argsort(tokens // MEMBERS, kind="stable")
-        edge = np.searchsorted(tokens[order] // MEMBERS, np.arange(GROUPS + 1))
+        order = np.argsort((tokens >> SHIFT).astype(np.uint8), kind="stable")
+        edge = np.searchsorted(tokens[order] >> SHIFT, np.arange(GROUPS + 1))
         return [(g, order[a:z]) for g, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if z > a]
 
     def log_p(self, tokens: np.ndarray, ctx: np.ndarray) -> np.ndarray:
@@ -110,9 +112,9 @@ class Network:
         for a in range(0, len(tokens), BATCH):
             t = tokens[a : a + BATCH]
             _, h = self.hidden(ctx[a : a + BATCH])
-            got = _log_softmax(h @ self.group + self.group_b)[np.arange(len(t)), t // MEMBERS].astype(np.float64)
+            got = _log_softmax(h @ self.group + self.group_b)[np.arange(len(t)), t >> SHIFT].astype(np.float64)
             for g, rows in self.by_group(t):
-                got[rows] += _log_softmax(h[rows] @ self.member[g] + self.member_b[g])[np.arange(len(rows)), t[rows] % MEMBERS]
+                got[rows] += _log_softmax(h[rows] @ self.member[g] + self.member_b[g])[np.arange(len(rows)), t[rows] & LOW]
             out[a : a + BATCH] = got
         return out
 
@@ -121,15 +123,15 @@ class Network:
         n = len(t)
         x, h = self.hidden(ctx)
         grad = Network(np.zeros(SIZE, np.float32))
-        d = np.exp(_log_softmax(h @ self.group + self.group_b))
-        d[np.arange(n), t // MEMBERS] -= 1
+        d = _softmax(h @ self.group + self.group_b)
+        d[np.arange(n), t >> SHIFT] -= 1
         np.matmul(h.T, d, out=grad.group)
         grad.group_b[:] = d.sum(0)
         dh = d @ self.group.T
         for g, rows in self.by_group(t):
             hg = h[rows]
-            d = np.exp(_log_softmax(hg @ self.member[g] + self.member_b[g]))
-            d[np.arange(len(rows)), t[rows] % MEMBERS] -= 1
+            d = _softmax(hg @ self.member[g] + self.member_b[g])
+            d[np.arange(len(rows)), t[rows] & LOW] -= 1
             np.matmul(hg.T, d, out=grad.member[g])
             grad.member_b[g] = d.sum(0)
             dh[rows] += d @ self.member[g].T
@@ -147,9 +149,19 @@ class Network:
         self.flat -= RATE * g / np.sqrt(self.sums)
 
 
+#: Logits are held within these bounds, so their exponentials neither overflow nor vanish.
+BOUND = np.float32(40)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    np.exp(np.clip(x, -BOUND, BOUND, out=x), out=x)
+    x /= x @ np.ones((x.shape[1], 1), np.float32)
+    return x
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    np.clip(x, -BOUND, BOUND, out=x)
+    x -= np.log(np.exp(x) @ np.ones((x.shape[1], 1), np.float32))
     return x
 
 
