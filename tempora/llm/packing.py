@@ -20,6 +20,7 @@ result.  Which of several pieces of one length takes which slot is arbitrary.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -34,9 +35,14 @@ from .common import _ranges, materialize, slices
 
 CAPACITY = 4096
 END_ID = 1
-#: Steps of the local search, at most; each is a few microseconds to milliseconds on the driver.
-SEARCH_STEPS = 20_000
-CACHE_WORDS = 400_000
+#: Exchanges that the local search looks at, at most (some seconds on the driver); it stops early at the lower bound.
+SEARCH_WORK = 10_000_000
+#: Partner bins looked at once one improving exchange is known.
+PARTNERS = 64
+#: Pieces of words that a worker remembers.
+CACHE_PIECES = 800_000
+#: Latin letters that lower-casing and normalisation map one to one, then signs that no contraction begins with.
+LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:*#$%&)\"]*)")
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -50,7 +56,14 @@ def tokenizer_json(path: str | None = None) -> str:
 
 
 class WordCache:
-    """Ids of words, encoded once; exact for tokenizers that drop white space and never merge across it."""
+    """Ids of words, encoded once; exact for tokenizers that drop white space and never merge across it.
+
+    A word of Latin letters and trailing signs is two pieces, as the
+    tokenizer's own splitter has it: the lower-cased letters and the signs.
+    New letter pieces are encoded many at a time, joined by spaces, and told
+    apart by the end-of-word mark of their last token.  Other words are encoded
+    one by one.
+    """
 
     _by_crc: dict[int, "WordCache"] = {}
 
@@ -58,6 +71,9 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     @classmethod
@@ -69,26 +85,41 @@ class WordCache:
         return cls._by_crc[key]
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.start, self.flat = [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
-        self.n_flat = 0
-
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of each word, start by place, flat ids)."""
-        if len(self.place) > CACHE_WORDS:
+        self.piece: dict[str, int] = {"": 0}
+        self.start, self.flat = np.zeros(2, np.int64), np.zeros(0, np.uint32)
+
+    def _add(self, names: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        self.piece.update(zip(names, range(len(self.piece), len(self.piece) + len(names)), strict=True))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lens)])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _encode_each(self, names: list[str]) -> None:
+        ids = [e.ids for e in self.tok.encode_batch_fast(names, add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(names, np.fromiter((x for i in ids for x in i), np.uint32, int(lens.sum())), lens)
+
+    def _encode_letters(self, names: list[str]) -> None:
+        joined = [" ".join(names[i : i + 500]) for i in range(0, len(names), 500)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(names):
+            self._add(names, ids, np.diff(last, prepend=-1))
+        else:  # a vocabulary without the mark
+            self._encode_each(names)
+
+    def lookup(self, words: list[str]) -> np.ndarray:
+        """The two pieces of each word."""
+        if len(self.piece) > CACHE_PIECES:
             self.clear()
-        new = [w for w in words if w not in self.place]
-        if new:
-            ids = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start.append(self.n_flat + np.cumsum(lens))
-            self.flat.append(np.fromiter((x for i in ids for x in i), np.uint32, int(lens.sum())))
-            self.n_flat += int(lens.sum())
-            for w in new:
-                self.place[w] = len(self.place)
-        if len(self.flat) > 1:
-            self.start, self.flat = [np.concatenate(self.start)], [np.concatenate(self.flat)]
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)), self.start[0], self.flat[0]
+        if not words:
+            return np.zeros((0, 2), np.int64)
+        head, tail = zip(*[m.groups() if m else ("", w) for m, w in zip(map(LETTERS.fullmatch, words), words, strict=True)], strict=True)
+        head = "\n".join(head).lower().split("\n")
+        if letters := {x for x in head if x not in self.piece}:
+            self._encode_letters(sorted(letters))
+        if rest := {x for x in tail if x not in self.piece}:
+            self._encode_each(sorted(rest))
+        return np.array([np.fromiter(map(self.piece.__getitem__, x), np.int64, len(words)) for x in (head, tail)]).T
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids of all texts, each closed by ``end_id``; offsets by text)."""
@@ -97,16 +128,16 @@ class WordCache:
         off = np.asarray(words.offsets)
         off = off - off[0]
         coded = pc.dictionary_encode(words.flatten())
-        place, start, flat = self.lookup(coded.dictionary.to_pylist())
-        at = place[np.asarray(coded.indices, np.int64)] if len(coded) else np.zeros(0, np.int64)
-        lens = start[at + 1] - start[at]
-        src = _ranges(start[at], lens)
-        total = np.concatenate([[0], np.cumsum(lens)])
+        known = self.lookup(coded.dictionary.to_pylist())
+        size = np.diff(self.start)[known]
+        at = np.asarray(coded.indices, np.int64) if len(coded) else np.zeros(0, np.int64)
+        pieces, lens = known[at], size[at]
+        total = np.concatenate([[0], np.cumsum(lens.sum(1))])
         offsets = total[off] + np.arange(n + 1)
         out = np.full(int(offsets[-1]), end_id, np.uint32)
         is_end = np.zeros(len(out), bool)
         is_end[offsets[1:] - 1] = True
-        out[~is_end] = flat[src]
+        out[~is_end] = self.flat[_ranges(self.start[pieces].reshape(-1), lens.reshape(-1))]
         return out, offsets
 
 
@@ -142,38 +173,38 @@ def _pieces(spec: str, capacity: int, end_id: int, id_type: pa.DataType):
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[list]:
     """[content (lengths, largest first), copies]: each bin takes the largest length left, then whatever largest fits."""
-    left = np.zeros(capacity + 1, np.int64)
+    left = [0] * (capacity + 1)
     for n, c in counts.items():
         left[n] = c
-    down = np.arange(capacity + 1)  # the greatest length with pieces left, at or below; 0: none
+    down = list(range(-1, capacity))  # from a length without pieces, where to look next
 
     def find(i: int) -> int:
-        root = i
-        while root and not left[root]:
-            root = root - 1 if down[root] == root else down[root]
-        while i > root:
-            down[i], i = root, down[i] if down[i] < i else i - 1
-        return int(root)
+        """The greatest length with pieces left, at or below ``i``; 0: none."""
+        path = []
+        while i and not left[i]:
+            path.append(i)
+            i = down[i]
+        for p in path:
+            down[p] = i
+        return i
 
     out = []
     while top := find(capacity):
         content, room = Counter({top: 1}), capacity - top
         left[top] -= 1
-        used = [top]
         while room and (n := find(room)):
-            take = int(min(left[n], room // n))
+            take = min(left[n], room // n)
             left[n] -= take
             content[n] += take
-            used.append(n)
             room -= n * take
-        copies = int(min(left[n] // content[n] for n in used))
-        for n in used:
+        copies = min(left[n] // content[n] for n in content)
+        for n in content:
             left[n] -= copies * content[n]
         out.append([sorted(content.elements(), reverse=True), copies + 1])
     return out
 
 
-def local_search(bins: list[list], capacity: int, steps: int = SEARCH_STEPS) -> list[list]:
+def local_search(bins: list[list], capacity: int, work: int = SEARCH_WORK) -> list[list]:
     """Empties bins by moves, one-for-one and two-for-one exchanges; every step raises the sum of squared fills."""
     total = sum(sum(c) * m for c, m in bins)
     least = -(-total // capacity)
@@ -181,20 +212,23 @@ def local_search(bins: list[list], capacity: int, steps: int = SEARCH_STEPS) ->
     open_ = [(sum(c), i, c, m) for i, (c, m) in enumerate(b for b in bins if sum(b[0]) < capacity)]
     heapq.heapify(open_)
     count, n_id, stuck = sum(m for _, m in bins), len(open_), []
-    while open_ and steps > 0 and count > least:
+    while open_ and work > 0 and count > least:
         fill, _, content, copies = heapq.heappop(open_)
-        steps -= 1
         best = None
         for k, (other_fill, j, other, m) in enumerate(open_):
             if other_fill < fill:
                 continue
-            if step := best_step(content, other, capacity - other_fill):
+            step, looked = best_step(content, other, capacity - other_fill)
+            work -= looked
+            if step:
                 gain = 2 * step[0] * (other_fill - fill + step[0])
                 if best is None or gain > best[0]:
                     best = (gain, k, step)
-            if k >= 400 and best:
+                if step[0] == capacity - other_fill:
+                    break
+            if work <= 0 or k >= PARTNERS and best:
                 break
-        if best is None and copies > 1 and (step := best_step(content, content, capacity - fill)):
+        if best is None and copies > 1 and (step := best_step(content, content, capacity - fill)[0]):
             pairs = copies // 2
             best, k = (0, None, step), None
             if copies % 2:
@@ -231,34 +265,28 @@ def local_search(bins: list[list], capacity: int, steps: int = SEARCH_STEPS) ->
     return done + stuck + [[c, m] for _, _, c, m in open_]
 
 
-def best_step(content: list[int], other: list[int], slack: int) -> tuple[int, tuple, tuple] | None:
-    """(growth of the other bin, what goes there, what comes back): the largest growth within its slack."""
-    best = None
-
-    def offer(grow: int, out: tuple, back: tuple) -> bool:
-        nonlocal best
-        if 0 < grow <= slack and (best is None or grow > best[0]):
-            best = (grow, out, back)
-        return best is not None and best[0] == slack
-
-    mine, theirs = sorted(set(content)), sorted(set(other))
-    for x in mine:
-        if offer(x, (x,), ()):
-            return best
-    for x in mine:
-        for y in theirs:
-            if offer(x - y, (x,), (y,)):
-                return best
+def best_step(content: list[int], other: list[int], slack: int) -> tuple[tuple[int, tuple, tuple] | None, int]:
+    """(growth of the other bin, what goes there, what comes back) of the largest growth within its slack; exchanges looked at."""
     have = Counter(content)
-    for i, x in enumerate(mine[:64]):
-        for z in mine[i:64]:
-            if x == z and have[x] < 2:
-                continue
-            low, high = x + z - slack, x + z
-            k = np.searchsorted(theirs, low)
-            if k < len(theirs) and theirs[k] < high and offer(x + z - theirs[k], (x, z), (theirs[k],)):
-                return best
-    return best
+    mine, theirs = np.array(sorted(have)), np.array([0, *sorted(set(other))])
+    best, looked = None, 0
+    # what goes: one document, or two; what comes back: one, or nothing (the 0)
+    i, j = np.triu_indices(len(mine))
+    two = (i != j) | (np.array([have[x] for x in mine.tolist()])[i] > 1)
+    for out, back in ((mine, theirs), ((mine[i] + mine[j])[two], theirs[1:])):
+        if len(out) and len(back):
+            grow = out[:, None] - back[None, :]
+            looked += grow.size
+            grow[grow > slack] = 0
+            at = int(grow.argmax())
+            g = int(grow.flat[at])
+            if g > 0 and (best is None or g > best[0]):
+                x, y = divmod(at, len(back))
+                goes = (int(mine[x]),) if out is mine else (int(mine[i[two][x]]), int(mine[j[two][x]]))
+                best = (g, goes, (int(back[y]),) if back[y] else ())
+            if best and best[0] == slack:
+                break
+    return best, looked + 50
 
 
 class Plan:
@@ -288,8 +316,8 @@ class Plan:
         return self.first[out] + k // self.per[out], self.at[out] + k % self.per[out] * length
 
 
-def plan_bins(counts: dict[int, int], capacity: int, steps: int = SEARCH_STEPS) -> list[list]:
-    return local_search(best_fit(counts, capacity), capacity, steps)
+def plan_bins(counts: dict[int, int], capacity: int, work: int = SEARCH_WORK) -> list[list]:
+    return local_search(best_fit(counts, capacity), capacity, work)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
