@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,8 +161,6 @@ def local_name(name: Column) -> Column:
 
 def normalize_unicode(s: Column, form: str = "NFC") -> Column:
     """The one function here that needs Python: an Arrow-batched UDF."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
         return x.str.normalize(form)
