@@ -41,13 +41,14 @@ def default_rules() -> list[Rule]:
     """Thresholds in the spirit of published web-text filters; each leaves ordinary prose in any language alone."""
     c = F.col
     n = c("_words_n")
+    chars = F.length(F.array_join("_words", ""))
     letters = F.regexp_count(c("_text"), F.lit("\\p{L}"))
     return [
         Rule("symbols", F.regexp_count(c("_text"), F.lit(SYMBOLS)) * 5 > n),
         Rule("shouting", F.regexp_count(c("_text"), F.lit("\\p{Lu}")) * 2 > letters),
         Rule("exclamations", F.regexp_count(c("_text"), F.lit("!")) * 2 > n),
         Rule("duplicate_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))) * 100 > F.size("_lines") * 40),
-        Rule("word_length", ~(F.length(F.array_join("_words", "")) / n).between(2, 15)),
+        Rule("word_length", (chars < n * 2) | (chars > n * 15)),
         Rule("stutter", F.size(F.filter("_words", lambda w, i: w == F.get(c("_words"), i - 1))) * 4 > n),
     ]
 
