@@ -136,9 +136,10 @@ def battery(token: str) -> tuple[float, float] | None:
 
 
 def text_model(pairs: np.ndarray) -> np.ndarray:
-    """log P(class | class before), smoothed by one pair each."""
-    c = pairs.reshape(CLASSES, CLASSES).astype(float) + 1
-    return np.log(c / c.sum(1, keepdims=True))
+    """log P(class | class before), smoothed by ``CLASSES`` pairs as single classes have it."""
+    c = pairs.reshape(CLASSES, CLASSES).astype(float)
+    single = (c.sum(0) + 0.5) / (c.sum() + 0.5 * CLASSES)
+    return np.log((c + CLASSES * single) / (c.sum(1, keepdims=True) + CLASSES))
 
 
 def p_text(token: str, uniform: float, model: np.ndarray) -> float:
