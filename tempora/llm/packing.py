@@ -244,6 +244,10 @@ def local_search(bins: list[list], capacity: int, work: int = SEARCH_WORK) -> li
         else:
             stuck.append([content, copies])
             continue
+        for what, rest in stuck:  # they may have partners again
+            n_id += 1
+            heapq.heappush(open_, (sum(what), n_id, what, rest))
+        stuck = []
         both = min(copies, m)
         for rest, what in ((copies - both, content), (m - both, other)):
             if rest:
