@@ -8,7 +8,8 @@ hashed id among the rows offered for training) gives idf weights and, by a
 randomised singular value decomposition, ``RANK`` latent directions.  Its
 labelled vectors (``SAMPLE_ROWS`` x ``RANK`` floats at most) are broadcast;
 every text's exact cosines with all of them come from blocked products, and the
-``NEIGHBOURS`` nearest vote with their labels, weighted by similarity.
+``NEIGHBOURS`` nearest (0.4 times the root of the sample's size, if that is
+less) vote with their labels, weighted by similarity.
 
 Defined results: a null, empty or wordless text has no direction and scores the
 sample's mean label; without labelled rows every score is 0.5; repeated rows
@@ -100,7 +101,7 @@ class Model:
     """idf, latent directions and labelled vectors."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS):
-        self.neighbours = neighbours
+        self.neighbours = min(neighbours, -(-int(2 * len(labels) ** 0.5) // 5))  # fewer for small samples, where a rare label has few vectors
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
         df = (counts > 0).sum(0)
