@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -755,3 +756,105 @@ def hyperplane_buckets(t):
 def snapshot_profile(t):
     now = temporal.at_revision(_versions(t), 15)
     return now.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).orderBy("event_type")
+
+
+# --- text front end ---------------------------------------------------------------------------------------
+
+
+def _text(t, text: str) -> DataFrame:
+    from . import jsoniq
+
+    return jsoniq.run(t.spark, {n: getattr(t, n) for n in re.findall(r'collection\("(\w+)"\)', text)}, text)
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem WHERE l_discount > 0.02 GROUP BY 1")
+def text_group(t):
+    q = """for $l in collection("lineitem") where $l.l_discount gt 0.02 group by $f := $l.l_returnflag
+           return {"flag": $f, "n": count($l), "qty": sum($l.l_quantity)}"""
+    return _text(t, q).withColumn("qty", F.round("qty", 2))
+
+
+@query("SELECT o_orderkey AS o, c_name AS c FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000")
+def text_join(t):
+    return _text(t, """for $o in collection("orders"), $c in collection("customer") where $o.o_custkey = $c.c_custkey and $o.o_totalprice gt 100000
+                       return {"o": $o.o_orderkey, "c": $c.c_name}""")
+
+
+@query("SELECT count(*) AS count FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.5)) > 0")
+def text_quantified(t):
+    return _text(t, 'count(for $e in collection("embeddings") where some $x in $e.embedding satisfies $x gt 0.5 return $e.vec_id)')
+
+
+@query("SELECT s_suppkey AS value FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 5 OFFSET 1")
+def text_subsequence(t):
+    return _text(t, 'subsequence(for $s in collection("supplier") order by $s.s_acctbal descending, $s.s_suppkey return $s.s_suppkey, 2, 5)')
+
+
+# --- more tree operators ----------------------------------------------------------------------------------
+
+
+@query(_TREE + "SELECT a.name AS of, b.name FROM tree a JOIN tree b ON b.pre >= a.pre AND b.post <= a.post WHERE a.level = 1")
+def axes_descendant_or_self(t):
+    n = _tree(t)
+    return _named(axes.descendant(n.where("level = 1"), n, True), n)
+
+
+@query(_TREE + "SELECT a.name AS of, b.name FROM tree a JOIN tree b ON b.pre <= a.pre AND b.post >= a.post WHERE a.level = 3")
+def axes_ancestor_or_self(t):
+    n = _tree(t)
+    return _named(axes.ancestor(n.where("level = 3"), n, True), n)
+
+
+@query(_TREE + "SELECT name FROM tree WHERE level = 1 OR name LIKE '%1'")
+def tree_union(t):
+    n = _tree(t)
+    return axes.union(n.where("level = 1"), n.where(c("name").endswith("1"))).select("name")
+
+
+@query(_TREE + "SELECT name FROM tree WHERE level = 2 AND name LIKE '%1'")
+def tree_intersect(t):
+    n = _tree(t)
+    return axes.intersect(n.where("level = 2"), n.where(c("name").endswith("1"))).select("name")
+
+
+@query(_TREE + "SELECT name FROM tree WHERE level = 2 AND name NOT LIKE '%1'")
+def tree_except(t):
+    n = _tree(t)
+    return axes.except_(n.where("level = 2"), n.where(c("name").endswith("1"))).select("name")
+
+
+@query(_TREE + "SELECT name FROM (SELECT name, level, row_number() OVER (PARTITION BY r, CASE WHEN level > 2 THEN nk END, level ORDER BY pre) AS i FROM tree) WHERE level = 1 OR (level = 2 AND i <= 2)")
+def tree_limited(t):
+    n = _tree(t)
+    return axes.limited(n.where("level = 1"), max_level=1).union(axes.limited(n.where("level = 2"), 2, 2)).select("name")
+
+
+@query(_TREE + "SELECT a.name, CAST(count(b.name) AS BIGINT) AS descendants FROM tree a LEFT JOIN tree b ON b.pre > a.pre AND b.post < a.post GROUP BY a.name, a.pre")
+def descendant_count(t):
+    n = _tree(t)
+    return axes.descendant_count(n.withColumn("level", c("level") - 1)).select("name", c("descendants").cast("long").alias("descendants"))
+
+
+@query(_TREE + "SELECT name, level FROM tree WHERE pre = 3")
+def select_item(t):
+    return _tree(t).where("node_key = 3").select("name", "level")
+
+
+@query()
+def unkeyed_diff(t):
+    """Customers' order priorities of two years, matched without keys."""
+    o = t.orders.select(c("o_custkey").alias("cust"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("t"), F.year("o_orderdate").alias("y"))
+    return diff.match_unkeyed(o.where("y = 1996"), o.where("y = 1997"), ["cust"], "t")
+
+
+@query()
+def versioned_store(t):
+    """Write customers as a resource, commit changes, and read the difference of two revisions back."""
+    import uuid
+
+    at = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tempora"
+    db = store.Database(t.spark, f"{at.rstrip('/')}/store-{uuid.uuid4().hex}")
+    r = db.create("customer", t.customer, ["c_custkey"], "loader")
+    r.set(c("c_mktsegment") == "BUILDING", c_acctbal=0.0).delete(c("c_acctbal") < 0)
+    r.commit("settle", "clerk")
+    return r.diff(1, 2)
