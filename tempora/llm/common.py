@@ -211,8 +211,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     e = materialize(e, "cc")
     mark = None
     for _ in range(max_rounds):
-        large = _star(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), large=True)
+        large = materialize(_star(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), large=True), "cc")
         new = materialize(_star(large, large=False), "cc")
+        discard(large)
         row = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(e)
         e, was, mark = new, mark, tuple(row)
@@ -226,8 +227,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
-    """Link each node's neighbours to the least of them and the node: the larger ones, or the smaller ones and itself."""
-    least = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    """Link each node's neighbours to the least of them and the node: the larger ones, or the smaller ones and itself.
+
+    The minima are a table of their own: were they aggregated in the join's own
+    plan, all edges of a hub would have to meet in one task; so only partial
+    minima do, and the join's edge side is a plain exchange that AQE can split.
+    """
+    least = materialize(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc")
     j = e.join(least, "a")
     if large:
         out = j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

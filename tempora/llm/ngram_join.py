@@ -190,13 +190,13 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: fl
     comps = connected_components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     out = classes.drop("bands").join(links, "key", "left").join(comps.withColumnRenamed("node", "key"), "key", "left")
-    return signed.select("id", "thash", "key"), out.withColumn("comp", F.coalesce("comp", "key"))
+    return signed.select("id", "thash", "key"), materialize(out.withColumn("comp", F.coalesce("comp", "key")), "groups")
 
 
 def join(docs: DataFrame, **options) -> DataFrame:
     """(id, class_id, n_links) of every row; options as for :func:`groups`."""
     rows, classes = groups(docs, **options)
-    least = classes.groupBy("comp").agg(F.min("first.id").alias("class_id"))
+    least = materialize(classes.groupBy("comp").agg(F.min("first.id").alias("class_id")), "least")  # apart, so that a hot group's join can be split
     known = classes.join(least, "comp").select("key", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     id_col = options.get("id_col", "doc_id")
     met = rows.where("key IS NOT NULL").join(known, "key").select("id", "class_id", "n_links")
