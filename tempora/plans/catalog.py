@@ -850,9 +850,10 @@ def unkeyed_diff(t):
 @query()
 def versioned_store(t):
     """Write customers as a resource, commit changes, and read the difference of two revisions back."""
+    import tempfile
     import uuid
 
-    at = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tempora"
+    at = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()  # a local folder in tests alone
     db = store.Database(t.spark, f"{at.rstrip('/')}/store-{uuid.uuid4().hex}")
     r = db.create("customer", t.customer, ["c_custkey"], "loader")
     r.set(c("c_mktsegment") == "BUILDING", c_acctbal=0.0).delete(c("c_acctbal") < 0)
