@@ -91,21 +91,6 @@ def _sign(n: int, bands: int, rows: int, id_type: pa.DataType):
     return run
 
 
-def _keyed(n: int):
-    """(key, text) of each text with n-grams, once per key and batch."""
-
-    def run(batches):
-        for batch in batches:
-            for b in slices(batch, "text"):
-                keys = keys_of(*sets_of(b.column(0), n))
-                first = {k: i for i, k in reversed(list(enumerate(keys))) if k is not None}
-                take = sorted(first.values())
-                if take:
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in take], pa.binary()), b.column(0).take(pa.array(take))], names=["key", "text"])
-
-    return run
-
-
 def _grams(n: int):
     def run(batches):
         for batch in batches:
@@ -182,15 +167,19 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: fl
         seen = seen | x
     buckets = spread.groupBy("band", "h").agg(F.count("*").alias("m"), seen.alias("seen")).where("m > 1 AND NOT seen").drop("seen")
     members = materialize(spread.select("key", "band", "h").join(buckets, ["band", "h"]), "members")
-    wanted = members.select("key").distinct()
-    texts = docs.select(text.alias("text")).mapInArrow(_keyed(n), "key binary, text string").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    # one row for each class with a partner: its first, found by id, so copies of a text don't travel
+    wanted = members.select("key").distinct().join(classes.select("key", "first"), "key").select("key", F.col("first.id").alias("w_id"), F.col("first.thash").alias("w_thash"))
+    texts = src.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & F.col("thash").eqNullSafe(F.col("w_thash"))).groupBy("key").agg(F.first("text").alias("text"))
     grams = texts.mapInArrow(_grams(n), "key binary, grams binary").join(classes.select("key", "weight", "bands"), "key")
     linked = materialize(block_join(members.join(grams, "key"), ["band", "h"], "key", "m", CHUNK, _verify(threshold), "key binary, links long, root binary"), "linked")
     discard(members)
     comps = connected_components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     out = classes.drop("bands").join(links, "key", "left").join(comps.withColumnRenamed("node", "key"), "key", "left")
-    return signed.select("id", "thash", "key"), materialize(out.withColumn("comp", F.coalesce("comp", "key")), "groups")
+    out = materialize(out.withColumn("comp", F.coalesce("comp", "key")), "groups")
+    discard(linked)
+    discard(classes)
+    return signed.select("id", "thash", "key"), out
 
 
 def join(docs: DataFrame, **options) -> DataFrame:
