@@ -48,9 +48,11 @@ def count_greater(left: DataFrame, right: DataFrame, x: str, y: str, factor: flo
     """
     steps = right.where(F.col(y).isNotNull()).groupBy((F.col(y) * factor).alias("_v")).agg(F.count("*").alias("_n"))
     lefts = left.withColumns({"_v": F.col(x), "_n": F.lit(0).cast("long"), "_left": F.lit(1)})
-    both = lefts.unionByName(steps.withColumn("_left", F.lit(0)), allowMissingColumns=True).withColumn("_bucket", F.floor(F.log2(F.greatest(F.abs("_v"), F.lit(1e-9)))) * F.signum("_v"))
+    # 64 buckets to a doubling, in the values' order: some 260,000 at most, whatever the rows
+    size = F.floor(F.log2(F.greatest(F.abs("_v"), F.lit(1e-300))) * 64) + 70_000
+    both = lefts.unionByName(steps.withColumn("_left", F.lit(0)), allowMissingColumns=True).withColumn("_bucket", size * F.signum("_v"))
     per = both.groupBy("_bucket").agg(F.sum("_n").alias("_t"))
-    below = per.withColumn("_before", F.coalesce(F.sum("_t").over(W.orderBy(F.signum("_bucket"), F.col("_bucket")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_bucket", "_before")
+    below = per.withColumn("_before", F.coalesce(F.sum("_t").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_bucket", "_before")
     w = W.partitionBy("_bucket").orderBy("_v", F.desc("_left")).rowsBetween(W.unboundedPreceding, 0)
     out = both.withColumn("_in", F.sum("_n").over(w)).where("_left = 1").join(F.broadcast(below), "_bucket", "left")
     return out.select(*left.columns, (F.col("_in") + F.coalesce("_before", F.lit(0))).alias("n"))

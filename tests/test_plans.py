@@ -39,6 +39,14 @@ def test_salted_and_band_joins(spark):
     assert relational.band_join(p, r, "x", "low", "high", 2.0).count() == p.join(r, (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))).count()
 
 
+def test_theta_count_at_all_magnitudes(spark):
+    xs = [-1e6, -3.0, -2.0, -0.5, -1e-5, 0.0, 1e-5, 0.5, 0.75, 2.0, 2.0, 1e6, None]
+    left = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id int, x double")
+    right = spark.createDataFrame([(x,) for x in xs], "y double")
+    got = {r["id"]: r["n"] for r in relational.count_greater(left, right, "x", "y", 2.0).collect()}
+    assert got == {i: sum(x is not None and y is not None and x > 2 * y for y in xs) for i, x in enumerate(xs)}
+
+
 def test_numbered_is_total(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     assert all(r["x"] + 1 == r["ord"] for r in relational.numbered(df, ["x"]).collect())
