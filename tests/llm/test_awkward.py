@@ -72,7 +72,6 @@ def test_window_network_against_loops():
 def test_window_network_gradient_and_learning():
     import numpy as np
 
-    rng = np.random.default_rng(1)
     t = np.tile(np.array([3, 700, 45, 9, 1000]), 400)
     ctx = lm_scoring.contexts(t, np.array([0, len(t)]))
     net = lm_scoring.Network()
@@ -80,13 +79,12 @@ def test_window_network_gradient_and_learning():
     for _ in range(60):
         net.step(t, ctx)
     assert net.log_p(t, ctx).mean() > before + 4
-    # a numeric derivative of the mean loss, along the step's own direction
+    # one step alone goes downhill
     net = lm_scoring.Network()
     t, ctx = t[:50], ctx[:50]
     flat = net.flat.copy()
     net.step(t, ctx)
     assert net.log_p(t, ctx).mean() > lm_scoring.Network(flat).log_p(t, ctx).mean()
-    assert rng is not None
 
 
 def test_chat_format(spark):
