@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -23,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tempora-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -74,8 +78,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _known: dict[int, np.ndarray] = {}
-#: Powers that a worker keeps: 32 MB for each of the two bases.
-_KEPT = 1 << 22
+#: Powers that a worker keeps: 16 MB for each of the two bases.
+_KEPT = 1 << 21
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -181,7 +185,14 @@ def unique_by_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return v, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))]) if n else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20, rows: int = 2048):
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and their heaps would add up beside the executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, budget: int = 2 << 20, rows: int = 2048):
     """Cut a batch where its texts reach ``budget`` bytes or ``rows`` rows, so that memory holds whatever the lengths."""
     col = batch.column(batch.schema.get_field_index(column))
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
@@ -193,6 +204,7 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20, rows: int
         acc += int(x)
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
 
 
 # --- connected components ---------------------------------------------------------------------
@@ -305,6 +317,7 @@ def block_join(members: DataFrame, bucket: list[str], key: str, size_col: str, c
             last = tuple(x[-1] for x in ids)
         if held and (out := emit(held)) is not None:
             yield out
+        give_back()
 
     return m.mapInArrow(run, schema)
 

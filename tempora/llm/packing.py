@@ -40,7 +40,7 @@ SEARCH_WORK = 10_000_000
 #: Partner bins looked at once one improving exchange is known.
 PARTNERS = 64
 #: Pieces of words that a worker remembers.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 #: Latin letters that lower-casing and normalisation map one to one, then signs that no contraction begins with.
 LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:*#$%&)\"]*)")
 
@@ -151,7 +151,7 @@ def _pieces(spec: str, capacity: int, end_id: int, id_type: pa.DataType):
         cache = WordCache.of(spec)
         seen: Counter = Counter()
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 4 << 20):
                 ids, off = cache.encode(b.column(1))
                 data = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 cols = defaultdict(list)
