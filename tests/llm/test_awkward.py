@@ -146,6 +146,28 @@ def test_line_dedup(docs_of, none, awkward):
     assert line_dedup.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("many", [10**9, 0])
+def test_lines_at_the_edge_of_the_similarity_are_joined(docs_of, monkeypatch, many):
+    import random
+
+    rng = random.Random(7)
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    rows = []
+    for n in (5, 6, 8, 9, 10, 12, 14, 19, 20, 24, 30, 50, 120):
+        for part in (0.0, 0.1, 0.2):
+            for how in range(3):
+                a = [f"w{min(int(rng.paretovariate(0.6)), 5000)}" for _ in range(n)]
+                b = list(a)
+                for at in rng.sample(range(n), max(1, int(part * n)) if n >= 5 else 0):
+                    b[at] = f"new{rng.randrange(10**9)}" if how == 0 else "w1"
+                if how == 2:
+                    b = b[1:] + ["w2"]
+                rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    want = line_dedup.brute_force(dict(rows))
+    assert len(want) >= 60
+    assert {(r["id"], r["line"]) for r in line_dedup.duplicates(docs_of(rows)).collect()} == want
+
+
 @pytest.mark.parametrize("classes", [10, 10**9, 10**13])
 def test_block_schemes_lose_nothing(classes):
     import random
