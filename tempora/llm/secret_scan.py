@@ -1,8 +1,11 @@
 """Secret scans: fixed patterns, then a randomness test battery with length-aware false-discovery control.
 
 Pass 1 goes over every whole text once, map-only: pattern matches, candidate
-tokens (maximal runs of key characters, ``MIN_TOKEN`` or more) and the corpus's
-character-pair counts, written to the shared folder without the texts.
+tokens and the corpus's character-pair counts, written to the shared folder
+without the texts.  Candidates are ``MIN_TOKEN`` characters or more: maximal runs
+of key characters between inner ``=``, and the parts of those between separators
+(see :func:`candidates`), since a name or path before a key may share its
+characters.
 
 Pass 2 judges candidates.  An encoding is inferred from the characters (hex,
 base32, base36, base62, base64).  Chi-squared uniformity over that alphabet, a
@@ -11,8 +14,9 @@ the token can be uniformly random; Bonferroni joins the three.  Against
 ordinary text the token's p-value is ``exp(-LLR)``, where LLR is the
 log-likelihood of the uniform model over that of the corpus's own character
 pairs: a valid bound at every length, so short tokens need to be more extreme.
-Benjamini-Hochberg over all candidates (from a histogram of p-values) sets the
-cut at ``q``.
+Benjamini-Hochberg over all candidates, runs and parts alike (from a histogram of
+p-values), sets the cut at ``q``; of candidates that overlap, the least
+p-value's is given.
 
 Defined results: null and empty texts have no spans; rows are independent, so
 repeated rows repeat their spans; other columns are ignored; an empty table
@@ -22,6 +26,7 @@ gives an empty result.  Equal spans of several kinds are listed in the order of
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -45,6 +50,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
 
+#: What may part a key from what stands before or after it; the other characters of a key's alphabet stay within.
+SPLITS = tuple(re.compile(rf"[^{x}]{{{MIN_TOKEN},}}") for x in ("/", "/+", "_-", "/_-", "/+_-"))
+
 ENCODINGS = (
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
@@ -81,6 +89,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[1], x[0], x[2]))
 
 
+def candidates(run: str) -> list[tuple[int, str]]:
+    """(offset, token) of what is tested of a run: what stands between inner ``=`` (the last with its padding), and its parts by each of ``SPLITS``."""
+    body = run.rstrip("=")
+    found = {}
+    at = 0
+    for piece in body.split("="):
+        whole = piece if at + len(piece) < len(body) else run[at:]
+        if len(whole) >= MIN_TOKEN:
+            found[at, len(whole)] = whole
+            if not piece.isalnum():
+                for split in SPLITS:
+                    for m in split.finditer(whole):
+                        found[at + m.start(), len(m[0])] = m[0]
+        at += len(piece) + 1
+    return [(a, t) for (a, _), t in sorted(found.items())]
+
+
 def infer(token: str) -> tuple[str, np.ndarray, int] | None:
     """(encoding, digit values, alphabet size) of the smallest alphabet that holds the token without its padding."""
     body = token.rstrip("=")
@@ -170,21 +195,36 @@ def _scan(id_field: pa.Field):
                 spans, found = [], []
                 for t in text.to_pylist():
                     spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in base_spans(t)])
-                    found.append([{"start": m.start(), "token": m[0]} for m in RUN.finditer(t)])
+                    found.append([{"start": m.start() + a, "token": x} for m in RUN.finditer(t) for a, x in candidates(m[0])])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, span), pa.array(found, run), pa.nulls(part.num_rows, pa.list_(pa.int64()))], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, id_field), pa.nulls(1, span), pa.nulls(1, run), pa.array([pairs.tolist()], pa.list_(pa.int64()))], schema=schema)
 
     return scan
 
 
+def best_of(tested: list[dict], taken: list[tuple[int, int]]) -> None:
+    """Sets ``best``, from the least p-value on, where neither ``taken`` nor a better one overlaps; ones that can't pass any cut aren't looked at."""
+    reach: list[tuple[int, int]] = []  # what is taken, joined where it overlaps
+    for a, z in sorted(taken):
+        if reach and a < reach[-1][1]:
+            reach[-1] = (reach[-1][0], max(z, reach[-1][1]))
+        else:
+            reach.append((a, z))
+    for x in sorted(tested, key=lambda x: (x["log_p"], x["start"] - x["end"], x["start"])):
+        at = bisect.bisect_left(reach, (x["end"],))
+        x["best"] = x["log_p"] < 0 and (at == 0 or reach[at - 1][1] <= x["start"])
+        if x["best"]:
+            reach.insert(at, (x["start"], x["end"]))
+
+
 def _judge(model: np.ndarray):
-    """Adds to each candidate run its log p-values."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("log_p", pa.float64())]))
+    """Adds to each candidate its log p-value, and whether it is the best of those that it overlaps, fixed patterns first."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("log_p", pa.float64()), ("best", pa.bool_())]))
 
     def judge(batches):
         for b in batches:
             out = []
-            for row in b.column(2).to_pylist():
+            for row, spans in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = []
                 for r in row or ():
                     x = battery(r["token"])
@@ -192,6 +232,7 @@ def _judge(model: np.ndarray):
                         got.append({"start": r["start"], "end": r["start"] + len(r["token"]), "log_p": p_text(r["token"], x[1], model)})
                     else:
                         got.append({"start": r["start"], "end": r["start"] + len(r["token"]), "log_p": 0.0})
+                best_of(got, [(s["start"], s["end"]) for s in spans or ()])
                 out.append(got)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], names=["id", "spans", "tested"])
 
@@ -220,15 +261,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
     for pos, n in summed.collect():  # CLASSES ** 2 rows
         pairs[pos] = n
     tested = found.where("pairs IS NULL").select("id", "spans", "runs").mapInArrow(
-        _judge(text_model(pairs)), f"id {kind.simpleString()}, spans array<{SPAN}>, tested array<struct<start:long,end:long,log_p:double>>"
+        _judge(text_model(pairs)), f"id {kind.simpleString()}, spans array<{SPAN}>, tested array<struct<start:long,end:long,log_p:double,best:boolean>>"
     )
     bucket = lambda x: F.floor(F.least(-x["log_p"], F.lit(1000.0))).cast("int")
     histogram = tested.select(F.explode("tested").alias("x")).groupBy(bucket(F.col("x")).alias("b")).count().collect()  # 1001 rows at most
     cut = cut_from([tuple(r) for r in histogram], q)
-    extra = F.filter(
-        "tested",
-        lambda x: (bucket(x) >= cut) & ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])),
-    )
+    extra = F.filter("tested", lambda x: (bucket(x) >= cut) & x["best"])
     added = F.transform(extra, lambda x: F.struct(F.lit(3).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     by_start = F.transform(F.sort_array(F.transform(F.concat("spans", added), lambda s: F.struct(s["start"], s["kind"], s["end"]))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return tested.select(F.col("id").alias(id_col), by_start.alias("spans"))

@@ -130,6 +130,26 @@ def test_secret_battery(docs_of):
     assert all(r[100 + i] == "" for i in range(30))
 
 
+def test_secrets_behind_names_and_paths(docs_of):
+    import random
+
+    rng = random.Random(9)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "sig={}", "https://host.io/user_files/{}", "see host.io/static-files/{}/index_page", "a=1=SOME_LONG_NAME_OF_A_VALUE={}=="]
+    prose = "the committee will then consider an internationalization_of_everything_that_is_known and more "
+    rows, want = [], {}
+    for i in range(60):
+        key, form = "".join(rng.choice(chars) for _ in range(40)), forms[i % len(forms)]
+        text = prose * 5 + form.format(key) + " " + prose
+        end = text.index(key) + 40
+        rows.append((i, text))
+        want[i] = f"random:{end - 40}:{end + 2 * form.endswith('==')}"
+    rows += [(100 + i, prose * 6 + "path_of_the/internationalization-office=of_everything_known") for i in range(20)]
+    r = {x["doc_id"]: x["spans"] for x in secret_scan.digest(secret_scan.scan(docs_of(rows))).collect()}
+    assert sum(want[i] in r[i].split(",") for i in want) >= 55
+    assert all(r[100 + i] == "" for i in range(20))
+
+
 def test_line_dedup(docs_of, none, awkward):
     line = "a line of seven words stands here"
     near = " ".join(f"token{i}" for i in range(80))
