@@ -3,14 +3,16 @@
 Texts are folded to tokens of which three kinds are slots: numbers (tokens that
 begin with a digit), units (a fixed list, after a number) and names
 (capitalised within a sentence).  Slots become typed placeholders, and every
-window of ``WINDOW`` template tokens is hashed.  Document windows are
+window of ``WINDOW`` template tokens is hashed, in a plain form too that takes
+names for the words they are: what is capitalised changes with case and with
+line breaks, and a copy must not hide behind that.  Document windows are
 hash-joined to the benchmark's (broadcast only while their counted number is
 below ``BROADCAST_WINDOWS``).  Hits on one diagonal (document position less
 item position) align the texts; there, each of the item's slot values must
 stand for one document value throughout, which holds for copies and for
 re-parameterised questions alike and not for chance templates.  A document
 leaks an item when hits on consistent diagonals cover ``COVERAGE`` of the
-item's windows.
+item's windows: hits of the first form alone or, failing that, of either form.
 
 Benchmark windows with over ``MOST_SLOTS`` slots say too little and aren't used,
 unless an item has no other.  Items of fewer than ``WINDOW`` tokens are looked
@@ -71,14 +73,23 @@ def template(toks: Column, w: Column, i: Column) -> Column:
     return F.coalesce(F.concat(F.lit("\u0002"), kind(toks, w, i)), w)
 
 
+def plain(toks: Column) -> Column:
+    """The tokens without the marks of names."""
+    return F.transform(toks, lambda w: F.replace(w, F.lit(NAME), F.lit("")))
+
+
 def windows(df: DataFrame, size: int, keep: list[str]) -> DataFrame:
-    """(keep.., pos, h): the hash of every window of ``size`` template tokens of ``toks``."""
-    t, n = F.col("toks"), F.size("toks")
-    df = df.withColumn("th", F.transform("toks", lambda w, i: F.xxhash64(template(t, w, i))))
-    at = lambda i, k: F.get(F.col("th"), i + k)
-    hashes = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[at(i, k) for k in range(size)]))
+    """(keep.., pos, h, named, plain): the hashes of every window of ``size`` template tokens of ``toks``, and which of the two forms a hash is (both in one row where they are the same)."""
+    t, p, n = F.col("toks"), F.col("ptoks"), F.size("toks")
+    df = df.withColumn("ptoks", plain(t))
+    df = df.withColumn("th", F.transform("toks", lambda w, i: F.xxhash64(template(t, w, i)))).withColumn("tp", F.transform("ptoks", lambda w, i: F.xxhash64(template(p, w, i))))
+    hashes = lambda c: F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(F.col(c), i + k) for k in range(size)]))
     # the outer form: from the plain one Catalyst infers a filter that computes the arrays again, once for every element
-    return df.withColumn("win", F.when(n >= size, hashes)).select(*keep, F.posexplode_outer("win").alias("pos", "h"))
+    df = df.withColumn("hn", F.when(n >= size, hashes("th"))).withColumn("hp", F.when(n >= size, hashes("tp")))
+    row = lambda i, h, named, same: F.struct(i.alias("pos"), h.alias("h"), F.lit(named).alias("named"), same.alias("plain"))
+    named = F.transform("hn", lambda h, i: row(i, h, True, h == F.get("hp", i)))
+    other = F.filter(F.transform("hp", lambda h, i: row(i, h, False, h != F.get("hn", i))), lambda x: x["plain"])
+    return df.withColumn("win", F.concat(named, other)).select(*keep, F.explode_outer("win").alias("win")).select(*keep, "win.*")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -91,42 +102,66 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     hits = None
     for size in sorted(sizes):
         mine = items.where(F.size("toks") == size) if size < WINDOW else items.where(F.size("toks") >= WINDOW)
-        t = F.col("toks")
+        t, p = F.col("toks"), plain(F.col("toks"))
+        mine = mine.withColumn("ptoks", p)
         slots = F.transform("toks", lambda w, i: F.when(kind(t, w, i).isNull(), 0).otherwise(1))
-        spread = windows(mine.withColumn("slots", slots), size, ["ikey", "slots"])
-        spread = spread.withColumn("n_slots", F.aggregate(F.slice("slots", F.col("pos") + 1, F.lit(size)), F.lit(0), lambda a, x: a + x))
+        fixed = F.transform("ptoks", lambda w, i: F.when(kind(F.col("ptoks"), w, i).isNull(), 0).otherwise(1))
+        spread = windows(mine.withColumn("slots", slots).withColumn("fixed", fixed), size, ["ikey", "slots", "fixed"])
+        for c, n in (("slots", "n_slots"), ("fixed", "n_fixed")):
+            spread = spread.withColumn(n, F.aggregate(F.slice(c, F.col("pos") + 1, F.lit(size)), F.lit(0), lambda a, x: a + x))
         spread = spread.where("h IS NOT NULL")
-        usable = spread.join(spread.groupBy("ikey").agg(F.min("n_slots").alias("fewest")), "ikey").where(f"n_slots <= greatest(fewest, {MOST_SLOTS})")
-        bench = materialize(usable.select("ikey", F.col("pos").alias("ipos"), "h", F.count("*").over(_by("ikey")).alias("n_windows")), "bench-windows")
+        least = spread.groupBy("ikey").agg(F.min("n_slots").alias("fewest"), F.min("n_fixed").alias("fewest_fixed"))
+        usable = spread.join(least, "ikey").withColumns({"u_named": F.expr(f"n_slots <= greatest(fewest, {MOST_SLOTS})"), "u_plain": F.expr(f"n_fixed <= greatest(fewest_fixed, {MOST_SLOTS})")})
+        usable = usable.withColumns({  # a window has one row that is ``named``
+            "n_windows": F.sum(F.expr("cast(named AND u_named AS long)")).over(_by("ikey")),
+            "n_any": F.sum(F.expr("cast(named AND (u_named OR u_plain) AS long)")).over(_by("ikey")),
+        })
+        usable = usable.select("ikey", F.col("pos").alias("ipos"), "h", F.expr("named AND u_named").alias("i_named"), F.expr("plain AND u_plain").alias("i_plain"), "n_windows", "n_any")
+        bench = materialize(usable.where("i_named OR i_plain"), "bench-windows")
         small = bench.count() <= BROADCAST_WINDOWS
         probe = windows(src.select("id", "thash", tokens(F.col("text")).alias("toks")), size, ["id", "thash"])
-        met = probe.join(F.broadcast(bench) if small else bench, "h").select("id", "thash", "ikey", "ipos", "pos", "n_windows", F.lit(size).alias("size"))
+        met = probe.join(F.broadcast(bench) if small else bench, "h").where("(named AND i_named) OR (plain AND i_plain)")
+        met = met.select("id", "thash", "ikey", "ipos", "pos", "n_windows", "n_any", F.lit(size).alias("size"), F.expr("named AND i_named").alias("same"))
         hits = met if hits is None else hits.union(met)
     if hits is None:
         kind_of, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"id {kind_of}, thash long, item {item_kind}, n_windows long, n_hits long, n_slots long, reparameterised boolean")
-    diagonals = hits.groupBy("id", "thash", "ikey", "n_windows", "size", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("at"))
+    diagonals = hits.groupBy("id", "thash", "ikey", "n_windows", "n_any", "size", (F.col("pos") - F.col("ipos")).alias("diag"))
+    diagonals = diagonals.agg(F.collect_set(F.expr("CASE WHEN same THEN ipos END")).alias("at"), F.collect_set("ipos").alias("at_any"))
     diagonals = materialize(diagonals, "diagonals")
     per = ["id", "thash", "ikey"]
-    enough = diagonals.groupBy(*per, "n_windows").agg(F.sum(F.size("at")).alias("n")).where(F.col("n") >= F.col("n_windows") * coverage)
+    enough = diagonals.groupBy(*per, "n_windows", "n_any").agg(F.sum(F.size("at")).alias("n"), F.sum(F.size("at_any")).alias("m"))
+    enough = enough.where((F.col("n") >= F.col("n_windows") * coverage) | (F.col("m") >= F.col("n_any") * coverage))
     some = diagonals.join(enough.select(*[F.col(c).alias(f"e_{c}") for c in per]), F.expr("id <=> e_id AND thash <=> e_thash AND ikey = e_ikey"), "left_semi")
     wanted = some.select(F.col("id").alias("w_id"), F.col("thash").alias("w_thash")).distinct()
     texts = src.join(wanted, F.expr("id <=> w_id AND thash <=> w_thash"), "left_semi").groupBy(F.col("id").alias("t_id"), F.col("thash").alias("t_thash")).agg(F.first("text").alias("text"))
     texts = texts.select("t_id", "t_thash", tokens(F.col("text")).alias("dtoks"))
     aligned = some.join(texts, F.expr("id <=> t_id AND thash <=> t_thash")).join(items.select("ikey", "item", "toks"), "ikey")
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
-    t = F.col("toks")
-    pair = lambda p: F.struct(
-        kind(t, F.get(t, p), p).alias("kind"), F.get(t, p).alias("a"), F.get(F.col("dtoks"), p + F.col("diag")).alias("b")
+    aligned = aligned.withColumn("ptoks", plain(F.col("toks"))).withColumn("pdtoks", plain(F.col("dtoks")))
+    t, p = F.col("toks"), F.col("ptoks")
+    covered = lambda at: F.array_distinct(F.flatten(F.transform(at, lambda x: F.sequence(x, x + F.col("size") - 1))))
+    pair = lambda i: F.struct(
+        kind(t, F.get(t, i), i).alias("kind"), F.get(t, i).alias("a"), F.get(F.col("dtoks"), i + F.col("diag")).alias("b")
     )
-    aligned = aligned.withColumn("pairs", F.array_distinct(F.filter(F.transform(covered, pair), lambda x: x["kind"].isNotNull())))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["a"]))))
-    good = aligned.where(consistent).groupBy(*per, "item", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hits"),
-        F.max(F.size("pairs")).cast("long").alias("n_slots"),
-        F.max(F.exists("pairs", lambda x: x["a"] != x["b"])).alias("reparameterised"),
+    pair_any = lambda i: F.struct(
+        F.coalesce(kind(p, F.get(p, i), i), kind(t, F.get(t, i), i)).alias("kind"), F.get(p, i).alias("a"), F.get(F.col("pdtoks"), i + F.col("diag")).alias("b")
     )
-    return good.where(F.col("n_hits") >= F.col("n_windows") * coverage).drop("ikey")
+    for to, at, f in (("pairs", "at", pair), ("pairs_any", "at_any", pair_any)):
+        aligned = aligned.withColumn(to, F.array_distinct(F.filter(F.transform(covered(at), f), lambda x: x["kind"].isNotNull())))
+    out = []
+    for to, at in (("pairs", "at"), ("pairs_any", "at_any")):
+        consistent = F.size(to) == F.size(F.array_distinct(F.transform(to, lambda x: F.struct(x["kind"], x["a"]))))
+        only = lambda x, ok=consistent: F.when(ok, x)
+        out += [
+            F.size(F.array_distinct(F.flatten(F.collect_list(only(F.col(at)))))).cast("long").alias(f"{at}_hits"),
+            F.max(only(F.size(to))).cast("long").alias(f"{at}_slots"),
+            F.max(only(F.exists(to, lambda x: x["a"] != x["b"]))).alias(f"{at}_other"),
+        ]
+    good = aligned.groupBy(*per, "item", "n_windows", "n_any").agg(*out)
+    first = (F.col("at_hits") > 0) & (F.col("at_hits") >= F.col("n_windows") * coverage)
+    good = good.where(first | (F.col("at_any_hits") >= F.col("n_any") * coverage))
+    pick = lambda a, b, to: F.when(first, F.col(a)).otherwise(F.col(b)).alias(to)
+    return good.select("id", "thash", "item", pick("n_windows", "n_any", "n_windows"), pick("at_hits", "at_any_hits", "n_hits"), pick("at_slots", "at_any_slots", "n_slots"), pick("at_other", "at_any_other", "reparameterised"))
 
 
 def _by(*cols: str):

@@ -253,6 +253,17 @@ def test_decontaminate(spark, docs_of, awkward, none):
     assert decontaminate.drop_leaks(d, b.limit(0)).count() == d.count()
 
 
+def test_case_and_line_breaks_hide_no_copy(spark, docs_of):
+    q = "Which treaty signed in Paris between France and Spain in 1763 gave the land west of the river to Louis and his heirs for 20 years"
+    r = "A train leaves Boston at 60 miles per hour and reaches Chicago after 14 hours , how far did it travel in total"
+    b = spark.createDataFrame([(1, q), (2, r)], "item_id long, text string")
+    forms = [str, str.lower, str.upper, str.title, lambda x: x.replace(" ", "\n"), lambda x: x.replace(" ", "  "), lambda x: x.upper().replace("1763", "1648").replace("60", "75")]
+    rows = [(10 * i + k, f"so it goes. {f(x)} and so on") for i, f in enumerate(forms) for k, x in ((1, q), (2, r))]
+    other = [(99, "which train signed in the land west of the city to louis after 14 hours in total and how far is it to chicago")]
+    got = {(x["doc_id"], x["item_id"], x["reparameterised"]) for x in decontaminate.leaks(docs_of(rows + other), b).collect()}
+    assert got == {(i, i % 10, i >= 60) for i, _ in rows}
+
+
 def test_inconsistent_slots_do_not_leak(spark, docs_of):
     w = [" ".join(f"{x}{k}" for k in "abcdef") for x in "pqrs"]
     item, same, mixed = (f"{w[0]} {a} {w[1]} {b} {w[2]} {c} {w[3]}" for a, b, c in ((5, 5, 5), (8, 8, 8), (1, 2, 3)))
