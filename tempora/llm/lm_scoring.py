@@ -1,13 +1,18 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
 1. Every word of the corpus is counted; the ``TOP`` most frequent get a token
-   each, the rest share ``RARE`` tokens by hash.
+   each, the rest share ``RARE`` tokens by hash.  The counts of all words stay a
+   table: a word that shares a token has its own P(word | token).
 2. A small network predicts a token from ``SIDE`` tokens on either side (never
    from itself): embeddings, one tanh layer, and a two-level softmax (token =
    group and member, so the cost is two small softmaxes).  Every task trains on
    all of its texts from one starting point (Adagrad, minibatches); parameters
    are averaged, weighted by tokens, and a further round may start from there.
-3. A text's score is the sum over its tokens of log P(token | both sides).
+3. A text's score is the sum over its words of log P(token | both sides) +
+   log P(word | token); the latter is 0 for words with a token of their own, and
+   otherwise (count + 1) / (words and distinct words of the token + 1), so a word
+   the corpus hasn't got has a count of 0.  Rare words are joined to the counts
+   by hash.
 
 What tasks send grows with the corpus (word counts, one parameter set a task);
 the driver gets ``TOP`` words and one averaged parameter set.
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, materialize, slices
 
 GROUPS, MEMBERS = 32, 32
 #: A token's group is its upper bits, its place in the group the lower ones.
@@ -181,8 +186,8 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return _texts(docs, text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    top = count_words(docs, text_col).orderBy(F.desc("n"), "h").limit(TOP).select("h").collect()
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    top = counts.orderBy(F.desc("n"), "h").limit(TOP).select("h").collect()
     return Vocabulary(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
 
@@ -216,13 +221,28 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: in
     return net
 
 
-def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, log_likelihood, mean_log_likelihood) of every row; map-only."""
+def rare_words(counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(h, log_p): log P(word | token) of every word without a token of its own; a null h has each token's unseen words, as ``token``."""
+    spark = counts.sparkSession
+    top = spark.createDataFrame([(int(x),) for x in vocab.known.view(np.int64)], "h long")
+    rare = counts.join(F.broadcast(top), "h", "left_anti").withColumn("token", F.col("h").bitwiseAND(RARE - 1))
+    mass = rare.groupBy("token").agg((F.sum("n") + F.count("*") + 1).alias("mass"))  # RARE rows
+    every = spark.range(RARE).withColumnRenamed("id", "token").join(F.broadcast(mass), "token", "left").select("token", F.coalesce("mass", F.lit(1)).alias("mass"))
+    log_p = lambda n: (F.log(n + F.lit(1.0)) - F.log("mass")).alias("log_p")
+    seen = rare.join(F.broadcast(mass), "token").select("h", "token", log_p(F.col("n")))
+    return seen.union(every.select(F.lit(None).cast("long"), "token", log_p(F.lit(0))))
+
+
+def score(docs: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, log_likelihood, mean_log_likelihood) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))
 
     def run(batches):
+        from pyspark import TaskContext
+
         words, flat = shared.value
         net = Network(flat)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for b in slices(batch, "text", 2 << 20):
                 w = Words(b.column(1), fold=True)
@@ -230,14 +250,25 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
                 total = np.concatenate([[0.0], np.cumsum(net.log_p(t, contexts(t, w.offsets)))])
                 n = np.diff(w.offsets)
                 ll = total[w.offsets[1:]] - total[w.offsets[:-1]]
-                mean = pa.array(ll / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(ll), mean], names=["id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                rare, off = w.hash[t >= TOP], np.concatenate([[0], np.cumsum(t >= TOP)])[w.offsets]
+                keys = np.arange(row, row + len(n))
+                row += len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0), pa.array(n), pa.array(ll), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(rare.view(np.int64)))], names=["row", "id", "n_tokens", "ll", "rare"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
-    return out.withColumnRenamed("id", id_col)
+    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"row long, id {kind}, n_tokens long, ll double, rare array<long>")
+    got = materialize(got, "lm-scores")
+    words = rare_words(counts, vocab)
+    unseen = words.where("h IS NULL").select(F.col("token").alias("u_token"), F.col("log_p").alias("u_log_p"))
+    uses = got.select("row", F.explode("rare").alias("h"))
+    uses = uses.join(words.where("h IS NOT NULL").select("h", "log_p"), "h", "left").join(F.broadcast(unseen), F.col("h").bitwiseAND(RARE - 1) == F.col("u_token"))
+    own = uses.groupBy("row").agg(F.sum(F.coalesce("log_p", "u_log_p")).alias("own"))
+    out = got.select("row", F.col("id").alias(id_col), "n_tokens", "ll").join(own, "row", "left").withColumn("log_likelihood", F.col("ll") + F.coalesce("own", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return out.select(id_col, "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))
 
 
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    vocab = vocabulary(docs, text_col)
-    return score(docs, vocab, train(docs, vocab, text_col, rounds), id_col, text_col)
+    counts = materialize(count_words(docs, text_col), "lm-words")
+    vocab = vocabulary(counts)
+    return score(docs, vocab, train(docs, vocab, text_col, rounds), counts, id_col, text_col)

@@ -48,6 +48,29 @@ def test_lm_scoring(docs, none, awkward):
     assert lm_scoring.fit_and_score(none).count() == 0
 
 
+def test_lm_words_that_share_a_token_have_their_own_probability(docs_of):
+    import math
+
+    d = docs_of([(1, " ".join(f"w{i} w{i}" for i in range(3000))), (2, "often " * 1000 + "seldom")])
+    counts = lm_scoring.count_words(d).persist()
+    vocab = lm_scoring.vocabulary(counts)
+    net = lm_scoring.train(d, vocab)
+    new = docs_of([(1, "w2999 often"), (2, "unheard often"), (3, "often")])
+    rare = {r["h"]: r for r in lm_scoring.rare_words(counts, vocab).where("h IS NOT NULL").collect()}
+    assert len(rare) == 3002 - lm_scoring.TOP
+    unseen = {r["token"]: r["log_p"] for r in lm_scoring.rare_words(counts, vocab).where("h IS NULL").collect()}
+    for token, log_p in unseen.items():
+        assert sum(math.exp(r["log_p"]) for r in rare.values() if r["token"] == token) + math.exp(log_p) == pytest.approx(1)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_scoring.score(new, vocab, net, counts).collect()}
+    for i, text in ((1, "w2999 often"), (2, "unheard often"), (3, "often")):
+        w = lm_scoring.Words(lm_scoring.pa.array([text]), fold=True)
+        t = vocab(w.hash)
+        want = net.log_p(t, lm_scoring.contexts(t, w.offsets)).sum()
+        for h in w.hash[t >= lm_scoring.TOP].view("i8").tolist():
+            want += rare[h]["log_p"] if h in rare else unseen[h & 63]
+        assert got[i] == pytest.approx(want)
+
+
 def test_window_network_against_loops():
     import numpy as np
 
