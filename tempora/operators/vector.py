@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Query vectors are broadcast; more than this must be searched in several calls.
+#: Query vectors are broadcast; more than this are searched in blocks of about half as many.
 MOST_QUERIES = 20_000
 
 
@@ -42,10 +42,20 @@ def search(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", i
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, distance, rank) for a bounded set of queries (checked): each batch keeps k rows a query before any shuffle."""
-    rows = queries.select(id_col, vec_col).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search in parts")
+    """(query_id, id, distance, rank) for any number of queries, a block of them at a time: each batch keeps k rows a query before any shuffle."""
+    queries = queries.select(id_col, vec_col)
+    n = queries.count()
+    blocks = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
+    found = None
+    for i in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i) if blocks > 1 else queries
+        part = _nearest(vectors, block.collect(), k, metric, id_col, vec_col)  # about MOST_QUERIES / 2 rows
+        found = part if found is None else found.union(part)
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+
+def _nearest(vectors: DataFrame, rows: list, k: int, metric: str, id_col: str, vec_col: str) -> DataFrame:
+    """The k nearest in each batch of one block of queries."""
     spark = vectors.sparkSession
     ids = np.array([r[0] for r in rows], np.int64)
     shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], float).reshape(len(rows), -1)))
@@ -68,8 +78,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_c
                 near = np.lexsort((keys, d[:, j]))[:k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), qid[j])), pa.array(keys[near]), pa.array(d[near, j])], names=["query_id", "id", "distance"])
 
-    found = vectors.select(F.col(id_col).cast("long"), vec_col).mapInArrow(run, "query_id long, id long, distance double")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    return vectors.select(F.col(id_col).cast("long"), vec_col).mapInArrow(run, "query_id long, id long, distance double")
 
 
 def hyperplane_index(vectors: DataFrame, dim: int, tables: int = 12, bits: int = 8, seed: int = 5, vec_col: str = "embedding") -> DataFrame:

@@ -64,3 +64,13 @@ def test_batch_knn_is_exact(spark):
     for q in range(3):
         d = 1 - x32 @ x32[q] / np.linalg.norm(x32, axis=1) / np.linalg.norm(x32[q])
         assert [i for _, i in sorted(got[q])] == np.argsort(d, kind="stable")[:4].tolist()
+
+
+def test_batch_knn_takes_any_number_of_queries(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(2).standard_normal((90, 4))
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, vector.knn(df, df, 3).select("query_id", "id", "rank").collect()))
+    monkeypatch.setattr(vector, "MOST_QUERIES", 40)
+    assert sorted(map(tuple, vector.knn(df, df, 3).select("query_id", "id", "rank").collect())) == want and len(want) == 270
