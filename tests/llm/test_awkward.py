@@ -189,40 +189,81 @@ def test_line_dedup(docs_of, none, awkward):
     assert line_dedup.dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("many", [10**9, 0])
-def test_lines_at_the_edge_of_the_similarity_are_joined(docs_of, monkeypatch, many):
+def edited(rng, a, edits, how):
+    """A line ``edits`` word edits away from ``a``, at most."""
+    b = list(a)
+    for _ in range(edits):
+        at = rng.randrange(len(b))
+        kind = rng.randrange(3) if how == "mixed" else 0
+        if kind == 0:
+            b[at] = f"new{rng.randrange(10**9)}" if how != "common" else "w1"
+        elif kind == 1:
+            b.insert(at, "w2")
+        elif len(b) > 1:
+            del b[at]
+    return b
+
+
+@pytest.mark.parametrize("low,high", [(5, 9), (10, 14), (15, 24), (25, 49), (50, 100), (101, 400)])
+def test_recall_by_line_length(docs_of, low, high):
+    """Pairs at the very threshold, each of words of its own but for common ones: found by the operator, of all that edit similarity has."""
+    import random
+
+    rng = random.Random(low)
+    rows = []
+    for i in range(120):
+        n = rng.randint(low, high)
+        a = [f"w{int(rng.paretovariate(0.5))}" if rng.random() < 0.5 else f"x{i}y{rng.randrange(60)}" for _ in range(n)]
+        b = edited(rng, a, max(1, n // 5), rng.choice(["fresh", "common", "mixed"]))
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {(r["id"], r["line"]) for r in line_dedup.duplicates(docs_of(rows)).collect()}
+    want = line_dedup.brute_force(dict(rows))
+    assert len(want) >= 60 and got <= want
+    recall = len(got) / len(want)
+    assert recall == 1 if high < 16 else recall >= 0.95, recall
+
+
+def test_edited_lines_of_every_kind(docs_of):
     import random
 
     rng = random.Random(7)
-    monkeypatch.setattr(line_dedup, "MANY", many)
     rows = []
     for n in (5, 6, 8, 9, 10, 12, 14, 19, 20, 24, 30, 50, 120):
         for part in (0.0, 0.1, 0.2):
-            for how in range(3):
+            for how in ("fresh", "common", "mixed"):
                 a = [f"w{min(int(rng.paretovariate(0.6)), 5000)}" for _ in range(n)]
-                b = list(a)
-                for at in rng.sample(range(n), max(1, int(part * n)) if n >= 5 else 0):
-                    b[at] = f"new{rng.randrange(10**9)}" if how == 0 else "w1"
-                if how == 2:
-                    b = b[1:] + ["w2"]
+                b = edited(rng, a, max(1, int(part * n)), how)
                 rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    rows += [(1000, "la la la la la la"), (1001, "la la la la la lu"), (1002, "one word only here " * 2), (1003, "one word only here one word only")]
     want = line_dedup.brute_force(dict(rows))
-    assert len(want) >= 60
-    assert {(r["id"], r["line"]) for r in line_dedup.duplicates(docs_of(rows)).collect()} == want
+    got = {(r["id"], r["line"]) for r in line_dedup.duplicates(docs_of(rows)).collect()}
+    assert len(want) >= 60 and got == want
 
 
-@pytest.mark.parametrize("classes", [10, 10**9, 10**13])
-def test_block_schemes_lose_nothing(classes):
+def test_blocks_survive_three_changes_of_five():
     import random
 
-    rng = random.Random(classes)
-    bits = line_dedup.masks(line_dedup.scheme_for(classes))
-    for _ in range(300):
-        a = rng.getrandbits(64)
-        b = a
-        for k in rng.sample(range(64), line_dedup.HAMMING):
-            b ^= 1 << k
-        assert any(a & m == b & m for m in bits)
+    import numpy as np
+
+    rng, level = random.Random(3), np.full(line_dedup.SLOTS, 20, np.uint8)
+    level[rng.sample(range(line_dedup.SLOTS), 1 << 19)] = 90
+    for n in (5, 7, 10, 14, 19):
+        for _ in range(200):
+            a = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+            b = a.copy()
+            b[rng.sample(range(n), n // 5)] = np.array([rng.getrandbits(64) for _ in range(n // 5)], np.uint64)
+            k, off = line_dedup.pair_blocks(np.concatenate([a, b]), np.array([n, n]), level)
+            assert set(k[: off[1]].tolist()) & set(k[off[1] :].tolist())
+
+
+def test_simhash_against_loops():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n = np.array([1, 3, 70_000, 8])
+    h = rng.integers(0, 2**64, n.sum(), dtype=np.uint64)
+    for x, part in zip(line_dedup.simhash(h, n).tolist(), np.split(h, np.cumsum(n)[:-1]), strict=True):
+        assert x == sum(1 << k for k in range(64) if 2 * int((part >> np.uint64(k) & np.uint64(1)).sum()) > len(part) - len(part) % 2)
 
 
 def test_hot_buckets_are_split(docs_of, monkeypatch):
