@@ -69,8 +69,10 @@ def count_present(value: Column) -> Column:
 
 def round_up_ties(value: Column, digits: int = 0) -> Column:
     """Half goes towards positive infinity: 2.5 -> 3, -2.5 -> -2."""
-    scale = 10**digits
-    return F.floor(value * scale + 0.5) / scale if digits else F.floor(value + 0.5)
+    scaled = value * 10**digits if digits else value
+    low = F.floor(scaled)
+    out = low + F.when(scaled - low >= 0.5, 1).otherwise(0)  # not floor(x + 0.5), whose sum may round up
+    return out / 10**digits if digits else out
 
 
 def round_half_even(value: Column, digits: int = 0) -> Column:
@@ -78,9 +80,9 @@ def round_half_even(value: Column, digits: int = 0) -> Column:
 
 
 def idiv(a: Column, b: Column) -> Column:
-    """Integer division, towards zero."""
-    q = a / b
-    return F.when(q >= 0, F.floor(q)).otherwise(F.ceil(q)).cast("long")
+    """Integer division, towards zero, exact for whole numbers; missing for a divisor of 0."""
+    exact = "decimal(38,8)"
+    return F.when(b != 0, F.call_function("div", a.cast(exact), b.cast(exact))).cast("long")
 
 
 def mod(a: Column, b: Column) -> Column:
@@ -147,12 +149,7 @@ def codepoints(s: Column) -> Column:
 
 
 def from_codepoints(points: Column) -> Column:
-    """Code points below 256, as ``char`` has it."""
-    return F.array_join(F.transform(points, lambda c: F.char(c)), "")
-
-
-def encode_for_uri(s: Column) -> Column:
-    return F.regexp_replace(F.url_encode(s), "\\+", "%20")
+    return F.array_join(F.transform(points, lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")), "")
 
 
 def local_name(name: Column) -> Column:
@@ -238,6 +235,25 @@ def to(start: Column, end: Column) -> Column:
     return F.when(start <= end, F.sequence(start, end)).otherwise(F.array().cast("array<bigint>"))
 
 
+def zero_or_one(a: Column) -> Column:
+    return F.when(F.assert_true(F.size(a) <= 1, "a sequence of one item at most is needed").isNull(), F.try_element_at(a, F.lit(1)))
+
+
+def last(a: Column) -> Column:
+    """``last()``: the context's size."""
+    return F.size(a)
+
+
+def data(value: Column) -> Column:
+    """Atomised: a value, or those of a sequence, as text."""
+    return value.cast("string")
+
+
+def nilled(value: Column) -> Column:
+    """Whether an element says that it has no value."""
+    return F.coalesce(value, F.lit("")) == "true"
+
+
 def one_or_more(a: Column) -> Column:
     return F.when(F.assert_true(F.size(a) >= 1, "a sequence of one or more items is needed").isNull(), a)
 

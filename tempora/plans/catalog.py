@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..operators import axes, diff, relational, temporal, vector
 from ..sources import shred, store
+from . import functions_catalog
 from .flwor import flwor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -859,3 +860,6 @@ def versioned_store(t):
     r.set(c("c_mktsegment") == "BUILDING", c_acctbal=0.0).delete(c("c_acctbal") < 0)
     r.commit("settle", "clerk")
     return r.diff(1, 2)
+
+
+functions_catalog.register(query)
