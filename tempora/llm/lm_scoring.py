@@ -5,22 +5,27 @@
    table: a word that shares a token has its own P(word | token).
 2. A small network predicts a token from ``SIDE`` tokens on either side (never
    from itself): embeddings, one tanh layer, and a two-level softmax (token =
-   group and member, so the cost is two small softmaxes).  Every task trains on
-   all of its texts from one starting point (Adagrad, minibatches); parameters
-   are averaged, weighted by tokens, and a further round may start from there.
+   group and member, so the cost is two small softmaxes), begun at the tokens'
+   own frequencies.  Texts are dealt to shards of about ``SHARD_WORDS`` words by
+   a hash of id and text, whatever the table's partitions; every shard trains
+   from one starting point (Adagrad, minibatches in the order of the hash),
+   parameters are averaged, weighted by tokens, and the next of ``ROUNDS``
+   starts there.  So a table scores alike however it is split.
 3. A text's score is the sum over its words of log P(token | both sides) +
    log P(word | token); the latter is 0 for words with a token of their own, and
    otherwise (count + 1) / (words and distinct words of the token + 1), so a word
-   the corpus hasn't got has a count of 0.  Rare words are joined to the counts
-   by hash.
+   the corpus hasn't got has a count of 0.  The most frequent of these words,
+   ``LISTED`` at most, are looked up in a broadcast list; the others are joined
+   to the counts by hash.
 
-What tasks send grows with the corpus (word counts, one parameter set a task);
-the driver gets ``TOP`` words and one averaged parameter set.
+What tasks send grows with the corpus (word counts, tokens, one parameter set a
+task); the driver gets ``TOP`` words, ``LISTED`` counts at most and one averaged
+parameter set.
 
 Defined results: null and wordless texts have no tokens, a score of 0 and a
-null mean; repeated rows score alike; ties between equally frequent words go to
-the lesser hash; other columns are ignored; an empty table gives an empty
-result.
+null mean; texts may be of any length; repeated rows score alike; ties between
+equally frequent words go to the lesser hash; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, slices
+from .common import Words, discard, give_back, materialize, slices
 
 GROUPS, MEMBERS = 32, 32
 #: A token's group is its upper bits, its place in the group the lower ones.
@@ -39,10 +44,13 @@ TOKENS = GROUPS * MEMBERS
 RARE = 64
 TOP = TOKENS - RARE
 SIDE = 2
-DIM, HIDDEN = 8, 16
-BATCH = 8192
+DIM, HIDDEN = 16, 32
+BATCH = 4096
 RATE = 0.1
-ROUNDS = 1
+ROUNDS = 2
+SHARD_WORDS = 1 << 21
+#: Words that share a token whose probabilities every task gets (12 bytes each).
+LISTED = 1 << 21
 
 
 class Vocabulary:
@@ -191,78 +199,173 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
 
-def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: int = ROUNDS) -> Network:
-    sc = docs.sparkSession.sparkContext
+def _with_token(counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The counts with each word's ``token``."""
+    spark = counts.sparkSession
+    top = spark.createDataFrame([(int(h), int(t)) for h, t in zip(vocab.known.view(np.int64), vocab.token, strict=True)], "h long, token int")  # TOP rows
+    return counts.join(F.broadcast(top), "h", "left").withColumn("token", F.coalesce("token", (F.lit(TOP) + F.col("h").bitwiseAND(RARE - 1)).cast("int")))
+
+
+def token_counts(counts: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(occurrences, distinct words) of each token."""
+    out = np.zeros((2, TOKENS))
+    for token, n, words in _with_token(counts, vocab).groupBy("token").agg(F.sum("n"), F.count("*")).collect():  # TOKENS rows at most
+        out[:, token] = n, words
+    return out[0], out[1]
+
+
+def unigram_start(occurrences: np.ndarray) -> Network:
+    """A network whose biases are the tokens' log frequencies, smoothed by one."""
     net = Network()
-    words = sc.broadcast(vocab)
+    p = (occurrences + 1).reshape(GROUPS, MEMBERS)
+    net.group_b[:] = np.log(p.sum(1) / p.sum())
+    net.member_b[:] = np.log(p / p.sum(1, keepdims=True))
+    return net
+
+
+def _shards(docs: DataFrame, vocab: Vocabulary, shards: int, id_col: str, text_col: str) -> DataFrame:
+    """(shard, place, tokens as little-endian 16-bit numbers) of every text with words."""
+    words = docs.sparkSession.sparkContext.broadcast(vocab)
+    place = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    src = docs.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), place.alias("place"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for b in slices(batch, "text"):
+                w = Words(b.column(2), fold=True)
+                t = words.value(w.hash).astype("<u2").tobytes()
+                has = pa.array(np.flatnonzero(np.diff(w.offsets)))
+                tokens = pa.array([t[2 * a : 2 * z] for a, z in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(has), b.column(1).take(has), tokens.take(has)], names=["shard", "place", "tokens"])
+
+    return src.mapInArrow(run, "shard int, place long, tokens binary")
+
+
+def _train_shard(net: Network, texts) -> int:
+    """Trains on texts (token arrays) in turn, in minibatches of ``BATCH``; the number of tokens."""
+    held, n, seen = [], 0, 0
+
+    def steps() -> None:
+        t, off = np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])])
+        ctx = contexts(t, off)
+        for a in range(0, len(t), BATCH):
+            net.step(t[a : a + BATCH], ctx[a : a + BATCH])
+
+    for t in texts:
+        held.append(t)
+        n, seen = n + len(t), seen + len(t)
+        if n >= BATCH:
+            steps()
+            held, n = [], 0
+    if held:
+        steps()
+    return seen
+
+
+def _texts_by_shard(batches):
+    """(shard, iterator of its token arrays), from rows sorted by shard."""
+    from itertools import groupby
+
+    def rows():
+        for b in batches:
+            for s, t in zip(b.column(0).to_numpy().tolist(), b.column(1), strict=True):
+                yield s, t
+
+    for s, group in groupby(rows(), lambda r: r[0]):
+        yield s, (np.frombuffer(t.as_buffer(), "<u2").astype(np.int64) for _, t in group)
+
+
+def train(docs: DataFrame, vocab: Vocabulary, counts: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> Network:
+    sc = docs.sparkSession.sparkContext
+    occurrences, _ = token_counts(counts, vocab)
+    net, shards = unigram_start(occurrences), max(1, -(-int(occurrences.sum()) // shard_words))
+    tokens = materialize(_shards(docs, vocab, shards, id_col, text_col), "lm-tokens")
+    dealt = tokens.repartition("shard").sortWithinPartitions("shard", "place", "tokens").select("shard", "tokens")
     for _ in range(rounds):
         start = sc.broadcast(net.flat)
 
         def run(batches, start=start):
-            mine, seen = Network(start.value), 0
-            for batch in batches:
-                for b in slices(batch, "text", 2 << 20):
-                    w = Words(b.column(0), fold=True)
-                    t = words.value(w.hash)
-                    ctx = contexts(t, w.offsets)
-                    for a in range(0, len(t), BATCH):
-                        mine.step(t[a : a + BATCH], ctx[a : a + BATCH])
-                    seen += len(t)
+            total, seen = np.zeros(SIZE), 0
+            for _, texts in _texts_by_shard(batches):
+                mine = Network(start.value)
+                n = _train_shard(mine, texts)
+                total += mine.flat.astype(np.float64) * n
+                seen += n
             if seen:
-                weighed = mine.flat.astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE + 1)), pa.array(np.append(weighed, seen))], names=["at", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE + 1)), pa.array(np.append(total, seen))], names=["at", "x"])
+            give_back()
 
-        summed = _texts(docs, text_col).mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x"))
-        got = summed.toPandas()  # SIZE + 1 rows
+        got = dealt.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()  # SIZE + 1 rows
         if len(got):
             x = np.zeros(SIZE + 1)
             x[got["at"].to_numpy()] = got["x"].to_numpy()
             net = Network(x[:-1] / x[-1])
+    discard(tokens)
     return net
 
 
-def rare_words(counts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(h, log_p): log P(word | token) of every word without a token of its own; a null h has each token's unseen words, as ``token``."""
-    spark = counts.sparkSession
-    top = spark.createDataFrame([(int(x),) for x in vocab.known.view(np.int64)], "h long")
-    rare = counts.join(F.broadcast(top), "h", "left_anti").withColumn("token", F.col("h").bitwiseAND(RARE - 1))
-    mass = rare.groupBy("token").agg((F.sum("n") + F.count("*") + 1).alias("mass"))  # RARE rows
-    every = spark.range(RARE).withColumnRenamed("id", "token").join(F.broadcast(mass), "token", "left").select("token", F.coalesce("mass", F.lit(1)).alias("mass"))
-    log_p = lambda n: (F.log(n + F.lit(1.0)) - F.log("mass")).alias("log_p")
-    seen = rare.join(F.broadcast(mass), "token").select("h", "token", log_p(F.col("n")))
-    return seen.union(every.select(F.lit(None).cast("long"), "token", log_p(F.lit(0))))
+def _masses(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """What a shared token's probabilities are shares of: words, distinct words and one."""
+    n, words = token_counts(counts, vocab)
+    return (n + words + 1)[TOP:]
 
 
-def score(docs: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def least_listed(counts: DataFrame, most: int) -> int:
+    """The least count from which on ``most`` words have that count or more, at most; from a histogram on a log scale."""
+    bucket = F.floor(F.log2("n") * 8).cast("int")
+    out = 1 << 62
+    above = 0
+    for b, m, low in sorted(counts.groupBy(bucket.alias("b")).agg(F.count("*"), F.min("n")).collect(), reverse=True):  # 504 rows at most
+        above += m
+        if above > most:
+            break
+        out = low
+    return out
+
+
+def score(docs: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", listed: int = LISTED) -> DataFrame:
     """(id, n_tokens, log_likelihood, mean_log_likelihood) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))
+    mass = np.log(_masses(counts, vocab))
+    floor = least_listed(counts, listed)
+    spark = docs.sparkSession
+    rare = _with_token(counts, vocab).where(F.col("token") >= TOP)
+    known = rare.where(F.col("n") >= floor).select("h", "n").toPandas().sort_values("h")  # ``listed`` rows at most
+    h = known["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    h, log_n = h[order], np.log1p(known["n"].to_numpy(float)[order]).astype(np.float32)
+    shared = spark.sparkContext.broadcast((vocab, net.flat, mass, h, log_n))
 
     def run(batches):
         from pyspark import TaskContext
 
-        words, flat = shared.value
+        words, flat, mass, list_h, list_n = shared.value
         net = Network(flat)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for b in slices(batch, "text", 2 << 20):
+            for b in slices(batch, "text"):
                 w = Words(b.column(1), fold=True)
                 t = words(w.hash)
-                total = np.concatenate([[0.0], np.cumsum(net.log_p(t, contexts(t, w.offsets)))])
+                each = net.log_p(t, contexts(t, w.offsets))
+                at = np.flatnonzero(t >= TOP)
+                each[at] -= mass[t[at] - TOP]
+                place = np.minimum(np.searchsorted(list_h, w.hash[at]), max(len(list_h) - 1, 0))
+                there = list_h[place] == w.hash[at] if len(list_h) else np.zeros(len(at), bool)
+                each[at[there]] += list_n[place[there]]
+                other = at[~there]
+                total = np.concatenate([[0.0], np.cumsum(each)])
                 n = np.diff(w.offsets)
                 ll = total[w.offsets[1:]] - total[w.offsets[:-1]]
-                rare, off = w.hash[t >= TOP], np.concatenate([[0], np.cumsum(t >= TOP)])[w.offsets]
+                off = np.searchsorted(other, w.offsets)
                 keys = np.arange(row, row + len(n))
                 row += len(n)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0), pa.array(n), pa.array(ll), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(rare.view(np.int64)))], names=["row", "id", "n_tokens", "ll", "rare"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0), pa.array(n), pa.array(ll), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(w.hash[other].view(np.int64)))], names=["row", "id", "n_tokens", "ll", "rare"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"row long, id {kind}, n_tokens long, ll double, rare array<long>")
     got = materialize(got, "lm-scores")
-    words = rare_words(counts, vocab)
-    unseen = words.where("h IS NULL").select(F.col("token").alias("u_token"), F.col("log_p").alias("u_log_p"))
     uses = got.select("row", F.explode("rare").alias("h"))
-    uses = uses.join(words.where("h IS NOT NULL").select("h", "log_p"), "h", "left").join(F.broadcast(unseen), F.col("h").bitwiseAND(RARE - 1) == F.col("u_token"))
-    own = uses.groupBy("row").agg(F.sum(F.coalesce("log_p", "u_log_p")).alias("own"))
+    seldom = counts.where(F.col("n") < floor).select("h", F.log1p(F.col("n").cast("double")).alias("log_n"))
+    own = uses.join(seldom, "h").groupBy("row").agg(F.sum("log_n").alias("own"))  # log 1 of an unseen word adds nothing
     out = got.select("row", F.col("id").alias(id_col), "n_tokens", "ll").join(own, "row", "left").withColumn("log_likelihood", F.col("ll") + F.coalesce("own", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.select(id_col, "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))
@@ -271,4 +374,4 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame, i
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     counts = materialize(count_words(docs, text_col), "lm-words")
     vocab = vocabulary(counts)
-    return score(docs, vocab, train(docs, vocab, text_col, rounds), counts, id_col, text_col)
+    return score(docs, vocab, train(docs, vocab, counts, rounds, id_col, text_col), counts, id_col, text_col)
