@@ -13,7 +13,7 @@ WS = "[^\\x20\\x09-\\x0D]"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.score(table(spark, sf_dir, "documents"))
+    return quality_rules.score(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,25 +85,28 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """,
-    # items of 8 tokens or more, as all of ``benchmark`` are
+    # items of 8 tokens or more with a literal in every window, as all of ``benchmark`` are
     "op6_decontaminate": rf"""
 WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
-tok AS (SELECT side, id, list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(replace(coalesce(text, ''), chr(1), ''),
-        '([^.!?\s] )(\p{{Lu}})', '\1' || chr(1) || '\2', 'g')), '[!-/:-@\[-`{{-~]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM texts),
-kinds AS (SELECT side, id, t, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i][1] = chr(1) THEN 'name' WHEN t[i] >= '0' AND t[i] < ':' THEN 'num'
-        WHEN i > 1 AND t[i - 1] >= '0' AND t[i - 1] < ':' AND list_contains([{", ".join(f"'{u}'" for u in decontaminate.UNITS)}], t[i]) THEN 'unit' END) AS k FROM tok),
-form AS (SELECT side, id, t, k, list_transform(range(1, len(t) + 1), lambda i: coalesce(chr(2) || k[i], t[i])) AS f FROM kinds WHERE len(t) >= 8),
-win AS (SELECT side, id, i AS pos, array_to_string(f[i:i+7], ' ') AS h, len(list_filter(k[i:i+7], lambda x: x IS NOT NULL)) AS slots
-        FROM (SELECT side, id, f, k, unnest(range(1, len(f) - 6)) AS i FROM form)),
-bw AS (SELECT *, count(*) OVER (PARTITION BY id) AS n_windows FROM (SELECT *, min(slots) OVER (PARTITION BY id) AS fewest FROM win WHERE side = 'b') WHERE slots <= greatest(fewest, 3)),
-hit AS (SELECT d.id AS doc_id, b.id AS item_id, b.n_windows, d.pos - b.pos AS diag, b.pos AS ipos FROM win d JOIN bw b ON d.h = b.h WHERE d.side = 'd'),
-cell AS (SELECT DISTINCT doc_id, item_id, diag, ipos + k AS p FROM hit, (SELECT unnest(range(0, 8)) AS k)),
-pair AS (SELECT DISTINCT c.doc_id, c.item_id, c.diag, b.k[c.p] AS kind, b.t[c.p] AS x, d.t[c.p + c.diag] AS y FROM cell c
-        JOIN form b ON b.side = 'b' AND b.id = c.item_id JOIN form d ON d.side = 'd' AND d.id = c.doc_id WHERE b.k[c.p] IS NOT NULL),
-slot AS (SELECT doc_id, item_id, diag, count(*) AS n, count(DISTINCT kind || ' ' || x) AS m, bool_or(x <> y) AS other FROM pair GROUP BY 1, 2, 3)
-SELECT h.doc_id, h.item_id, h.n_windows, count(DISTINCT h.ipos) AS n_hits, coalesce(max(s.n), 0) AS n_slots, coalesce(bool_or(s.other), false) AS reparameterised
-FROM hit h LEFT JOIN slot s ON s.doc_id = h.doc_id AND s.item_id = h.item_id AND s.diag = h.diag WHERE s.n IS NULL OR s.n = s.m
-GROUP BY 1, 2, 3 HAVING count(DISTINCT h.ipos) >= 0.3 * h.n_windows
+tok AS (SELECT side, id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[!-/:-@\[-`{{-~]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS c FROM texts),
+low AS (SELECT side, id, c, list_transform(c, lambda x: lower(x)) AS t FROM tok WHERE len(c) >= 8),
+kinds AS (SELECT side, id, t, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i] >= '0' AND t[i] < ':' THEN 'num'
+        WHEN i > 1 AND t[i - 1] >= '0' AND t[i - 1] < ':' AND list_contains([{", ".join(f"'{u}'" for u in decontaminate.UNITS)}], t[i]) THEN 'unit' END) AS f,
+        list_transform(range(1, len(t) + 1), lambda i: c[i] <> t[i] AND NOT list_contains([{", ".join(f"'{u}'" for u in decontaminate.COMMON)}], t[i])) AS cap FROM low),
+form AS (SELECT side, id, t, list_transform(range(1, len(t) + 1), lambda i: coalesce(f[i], CASE WHEN cap[i] THEN 'name' END)) AS k,
+        list_transform(range(1, len(t) + 1), lambda i: coalesce(chr(2) || f[i], t[i])) AS p,
+        list_transform(range(1, len(t) + 1), lambda i: coalesce(chr(2) || f[i], CASE WHEN cap[i] THEN chr(2) || 'name' END, t[i])) AS n FROM kinds),
+spots AS (SELECT *, unnest(range(1, len(t) - 6)) AS i FROM form),
+win AS (SELECT side, id, i AS pos, array_to_string(p[i:i+7], ' ') AS h FROM spots UNION SELECT side, id, i, array_to_string(n[i:i+7], ' ') FROM spots),
+items AS (SELECT id, len(t) - 7 AS n_windows FROM form WHERE side = 'b'),
+hit AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.pos - b.pos AS diag, b.pos AS ipos FROM win d JOIN win b ON d.h = b.h WHERE d.side = 'd' AND b.side = 'b'),
+cell AS (SELECT DISTINCT doc_id, item_id, diag, ipos + k AS x FROM hit, (SELECT unnest(range(0, 8)) AS k)),
+pair AS (SELECT DISTINCT c.doc_id, c.item_id, c.diag, b.k[c.x] AS kind, b.t[c.x] AS a, d.t[c.x + c.diag] AS y FROM cell c
+        JOIN form b ON b.side = 'b' AND b.id = c.item_id JOIN form d ON d.side = 'd' AND d.id = c.doc_id WHERE b.k[c.x] IS NOT NULL),
+slot AS (SELECT doc_id, item_id, diag, count(*) AS n, count(DISTINCT kind || ' ' || a) AS m, bool_or(a <> y) AS other FROM pair GROUP BY 1, 2, 3)
+SELECT h.doc_id, h.item_id, i.n_windows, count(DISTINCT h.ipos) AS n_hits, coalesce(max(s.n), 0) AS n_slots, coalesce(bool_or(s.other), false) AS reparameterised
+FROM hit h JOIN items i ON i.id = h.item_id LEFT JOIN slot s ON s.doc_id = h.doc_id AND s.item_id = h.item_id AND s.diag = h.diag WHERE s.n IS NULL OR s.n = s.m
+GROUP BY 1, 2, 3 HAVING count(DISTINCT h.ipos) >= 0.3 * i.n_windows
 """,
     "op8_ngram_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]', '', 'g'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
