@@ -14,8 +14,9 @@ less) vote with their labels, weighted by similarity.
 Defined results: a null, empty or wordless text has no direction and scores the
 sample's mean label; without labelled rows every score is 0.5; repeated rows
 score alike; a document with several labels counts once with the mean, rounded;
-ties between neighbours go to the earlier sample row; other columns are
-ignored; an empty table gives an empty result.
+rows of one id that differ train with their least text; ties between neighbours
+go to the lesser id; texts may be of any length; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ TERMS = 1024
 SAMPLE_ROWS = 4096
 RANK = 32
 NEIGHBOURS = 25
+STEEP = 16
 FOLDS = 5
 CUT = 0.3
 BLOCK = 2048
@@ -101,7 +103,7 @@ class Model:
     """idf, latent directions and labelled vectors."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS):
-        self.neighbours = min(neighbours, -(-int(2 * len(labels) ** 0.5) // 5))  # fewer for small samples, where a rare label has few vectors
+        self.neighbours = neighbours
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
         df = (counts > 0).sum(0)
@@ -138,12 +140,23 @@ class Model:
         for a in range(0, len(has), BLOCK):
             rows = has[a : a + BLOCK]
             cos = self.project(counts[rows]) @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < cos.shape[1] else np.tile(np.arange(k), (len(rows), 1))
-            weight = np.maximum(np.take_along_axis(cos, near, 1), 1e-6).astype(np.float64) ** 4
+            near = nearest(cos, k)
+            weight = np.maximum(np.take_along_axis(cos, near, 1), 1e-3).astype(np.float64) ** STEEP
             out[rows] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return out
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's ``k`` greatest values; of equal ones the first."""
+    if k >= cos.shape[1]:
+        return np.tile(np.arange(cos.shape[1]), (len(cos), 1))
+    out = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cos, out, 1).min(1, keepdims=True)
+    for i in np.flatnonzero((cos >= least).sum(1) > k):  # ties at the edge
+        out[i] = np.argsort(-cos[i], kind="stable")[:k]
+    return out
+
+
 def training_rows(labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
     """(id, label) of labelled rows outside the held-out fold: crc32 of the id as text, modulo ``FOLDS``, is not 0."""
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.round(F.avg(label_col)).cast("int").alias("_label"))
@@ -151,24 +164,20 @@ def training_rows(labels: DataFrame, label_col: str = "quality", id_col: str = "
 
 
 def fit(docs: DataFrame, train: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
-    """``train``: (_id, _label); a sample of at most ``sample_rows`` of its rows is used, each with the least text of its id."""
+    """``train``: (_id, _label); a sample of at most ``sample_rows`` of its rows is used, each with the least text of its id, in the order of ids."""
     sample = train.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
         for batch in batches:
             for b in slices(batch, "text"):
-                x = terms(b.column(2)).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "_label", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in terms(b.column(2))], pa.binary())], names=["_id", "_label", "x"])
 
     kind = train.schema["_id"].dataType.simpleString()
-    got = text.join(F.broadcast(sample), "_id").select("_id", "_label", "text").mapInArrow(count, f"_id {kind}, _label int, x binary")
-    rows = {}
-    for r in got.toLocalIterator():  # ``sample_rows`` at most, but for ids that repeat
-        rows[r[0]] = min(rows.get(r[0], (r[1], bytes(r[2]))), (r[1], bytes(r[2])))
-    ids = sorted(rows)
-    x = np.array([np.frombuffer(rows[i][1], np.float16) for i in ids], np.float32).reshape(-1, TERMS)
-    return Model(np.minimum(x, 6e4), np.array([rows[i][0] for i in ids], float), **options)
+    one = text.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.first("_label").alias("_label"), F.min("text").alias("text"))
+    rows = sorted(one.mapInArrow(count, f"_id {kind}, _label int, x binary").collect(), key=lambda r: r[0])  # ``sample_rows`` at most
+    x = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float32).reshape(-1, TERMS)
+    return Model(x, np.array([r[1] for r in rows], float), **options)
 
 
 def score(docs: DataFrame, model: Model, out_col: str = "score", text_col: str = "text") -> DataFrame:
