@@ -5,7 +5,9 @@ sees a histogram of at most ``capacity`` rows whatever the corpus.  Bins are
 handled in classes (one content, many copies): best fit builds classes, then a
 local search takes underfull classes and moves one document, exchanges one for
 one or two for one between bins, each step raising the sum of squared fills,
-until bins empty or no step is left.  Pieces are dealt to the plan's slots by
+until the least number of bins is reached or no step is left.  A class without a
+step waits until a new class could take one from it, so nothing is tried twice.
+Pieces are dealt to the plan's slots by
 their rank within their length: ranks are partition offsets plus the place
 within the task, so no length is ever sorted in one place.
 
@@ -35,10 +37,6 @@ from .common import _ranges, materialize, slices
 
 CAPACITY = 4096
 END_ID = 1
-#: Exchanges that the local search looks at, at most (some seconds on the driver); it stops early at the lower bound.
-SEARCH_WORK = 10_000_000
-#: Partner bins looked at once one improving exchange is known.
-PARTNERS = 64
 #: Pieces of words that a worker remembers.
 CACHE_PIECES = 600_000
 #: Latin letters that lower-casing and normalisation map one to one, then signs that no contraction begins with.
@@ -204,93 +202,146 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[list]:
     return out
 
 
-def local_search(bins: list[list], capacity: int, work: int = SEARCH_WORK) -> list[list]:
-    """Empties bins by moves, one-for-one and two-for-one exchanges; every step raises the sum of squared fills."""
-    total = sum(sum(c) * m for c, m in bins)
-    least = -(-total // capacity)
-    done = [b for b in bins if sum(b[0]) == capacity]
-    open_ = [(sum(c), i, c, m) for i, (c, m) in enumerate(b for b in bins if sum(b[0]) < capacity)]
-    heapq.heapify(open_)
-    count, n_id, stuck = sum(m for _, m in bins), len(open_), []
-    while open_ and work > 0 and count > least:
-        fill, _, content, copies = heapq.heappop(open_)
+def outs_of(content: tuple[int, ...]) -> dict[int, tuple[int, ...]]:
+    """Growth that a bin's documents can give another, one or two at a time: sum -> documents."""
+    kinds = sorted(set(content), reverse=True)
+    have = Counter(content)
+    out = {x + y: (x, y) for i, x in enumerate(kinds) for y in kinds[i:] if x != y or have[x] > 1}
+    return out | {x: (x,) for x in kinds}
+
+
+class _Rows:
+    """Growing columns of whole numbers."""
+
+    def __init__(self, width: int):
+        self.data, self.n = np.zeros((width, 64), np.int64), 0
+
+    def add(self, *columns) -> None:
+        m = len(columns[0])
+        while self.n + m > self.data.shape[1]:
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)], axis=1)
+        for row, x in zip(self.data, columns, strict=True):
+            row[self.n : self.n + m] = x
+        self.n += m
+
+    def keep(self, which: np.ndarray) -> None:
+        left = self.data[:, : self.n][:, which]
+        self.n = left.shape[1]
+        self.data[:, : self.n] = left
+
+    def __iter__(self):
+        return iter(self.data[:, : self.n])
+
+
+class OpenBins:
+    """Classes of underfull bins, and what each could take and give, to find steps between them."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.content: list[tuple[int, ...]] = []
+        self.copies: list[int] = []
+        self.waits = np.zeros(64, bool)
+        self.known: dict[tuple[int, ...], int] = {}
+        self.takes, self.gives = _Rows(4), _Rows(3)  # (class, fill, room once the document is out, the document or 0), (class, fill, sum)
+        self.heap: list[tuple[int, int]] = []
+
+    def add(self, content: tuple[int, ...], copies: int) -> None:
+        if (i := self.known.get(content)) is not None:
+            self.copies[i] += copies
+            self.wake(i)
+            return
+        i = self.known[content] = len(self.content)
+        self.content.append(content)
+        self.copies.append(copies)
+        if i == len(self.waits):
+            self.waits = np.concatenate([self.waits, np.zeros_like(self.waits)])
+        fill = sum(content)
+        back = np.array([0, *sorted(set(content))])
+        self.takes.add(np.full(len(back), i), np.full(len(back), fill), self.capacity - fill + back, back)
+        out = np.array(sorted(outs_of(content)))
+        self.gives.add(np.full(len(out), i), np.full(len(out), fill), out)
+        heapq.heappush(self.heap, (fill, i))
+        # classes that wait and could give this one something
+        cls, its_fill, total = self.gives
+        able = np.zeros(len(cls), bool)
+        for x in back.tolist():
+            able |= (total > x) & (total <= self.capacity - fill + x)
+        for j in np.unique(cls[able & (its_fill <= fill) & self.waits[cls]]).tolist():
+            self.wake(j)
+
+    def wake(self, i: int) -> None:
+        if self.waits[i]:
+            self.waits[i] = False
+            heapq.heappush(self.heap, (sum(self.content[i]), i))
+
+    def remove(self, i: int, copies: int) -> None:
+        self.copies[i] -= copies
+        if not self.copies[i]:
+            del self.known[self.content[i]]
+            self.waits[i] = False
+            if len(self.content) > 2 * len(self.known) + 64 and self.takes.n > 4096:
+                live = np.array(self.copies) > 0
+                for rows in (self.takes, self.gives):
+                    rows.keep(live[next(iter(rows))])
+
+    def best_step(self, i: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        """(partner, what goes there, what comes back) of the step that raises squared fills most; the partner is no emptier."""
+        fill, outs = sum(self.content[i]), outs_of(self.content[i])
+        cls, its_fill, room, back = self.takes
+        alive = np.array(self.copies)[cls] > (cls == i)
+        at = np.flatnonzero(alive & (its_fill >= fill))
+        cls, its_fill, room, back = cls[at], its_fill[at], room[at], back[at]
         best = None
-        for k, (other_fill, j, other, m) in enumerate(open_):
-            if other_fill < fill:
-                continue
-            step, looked = best_step(content, other, capacity - other_fill)
-            work -= looked
-            if step:
-                gain = 2 * step[0] * (other_fill - fill + step[0])
-                if best is None or gain > best[0]:
-                    best = (gain, k, step)
-                if step[0] == capacity - other_fill:
-                    break
-            if work <= 0 or k >= PARTNERS and best:
-                break
-        if best is None and copies > 1 and (step := best_step(content, content, capacity - fill)[0]):
-            pairs = copies // 2
-            best, k = (0, None, step), None
-            if copies % 2:
-                n_id += 1
-                heapq.heappush(open_, (fill, n_id, content, 1))
-            other, m, copies = content, pairs, pairs
-        elif best is not None:
-            k = best[1]
-            _, _, other, m = open_[k]
-            open_[k] = open_[-1]
-            open_.pop()
-            heapq.heapify(open_)
-        else:
-            stuck.append([content, copies])
+        total = np.array(sorted(outs, reverse=True))
+        for a in range(0, len(total), width := max(1, (1 << 20) // max(len(at), 1))):
+            s = total[a : a + width, None]
+            grow = np.where(s <= room, s - back, 0)
+            gain = np.where(grow > 0, grow * (its_fill - fill + grow), 0)
+            if gain.size and (g := int(gain.max())) > (best[0] if best else 0):
+                x, y = divmod(int(gain.argmax()), len(at))
+                best = (g, int(cls[y]), outs[int(total[a + x])], (int(back[y]),) if back[y] else ())
+        return best[1:] if best else None
+
+
+def local_search(bins: list[list], capacity: int) -> list[list]:
+    """Empties bins by moves, one-for-one and two-for-one exchanges; every step raises the sum of squared fills."""
+    least = -(-sum(sum(c) * m for c, m in bins) // capacity)
+    count = sum(m for _, m in bins)
+    done, open_ = [], OpenBins(capacity)
+
+    def put(content: tuple[int, ...], copies: int) -> None:
+        if sum(content) == capacity:
+            done.append([list(content), copies])
+        elif content:
+            open_.add(content, copies)
+
+    for content, copies in bins:
+        put(tuple(content), copies)
+    while open_.heap and count > least:
+        _, i = heapq.heappop(open_.heap)
+        if not open_.copies[i] or open_.waits[i]:
             continue
-        for what, rest in stuck:  # they may have partners again
-            n_id += 1
-            heapq.heappush(open_, (sum(what), n_id, what, rest))
-        stuck = []
-        both = min(copies, m)
-        for rest, what in ((copies - both, content), (m - both, other)):
-            if rest:
-                n_id += 1
-                heapq.heappush(open_, (sum(what), n_id, what, rest))
-        _, out, back = best[2]
-        a, b = Counter(content), Counter(other)
-        a.subtract(out), b.subtract(back)
-        a.update(back), b.update(out)
-        for x in (a, b):
-            what = sorted(x.elements(), reverse=True)
-            if not what:
-                count -= both
-            elif sum(what) == capacity:
-                done.append([what, both])
-            else:
-                n_id += 1
-                heapq.heappush(open_, (sum(what), n_id, what, both))
-    return done + stuck + [[c, m] for _, _, c, m in open_]
-
-
-def best_step(content: list[int], other: list[int], slack: int) -> tuple[tuple[int, tuple, tuple] | None, int]:
-    """(growth of the other bin, what goes there, what comes back) of the largest growth within its slack; exchanges looked at."""
-    have = Counter(content)
-    mine, theirs = np.array(sorted(have)), np.array([0, *sorted(set(other))])
-    best, looked = None, 0
-    # what goes: one document, or two; what comes back: one, or nothing (the 0)
-    i, j = np.triu_indices(len(mine))
-    two = (i != j) | (np.array([have[x] for x in mine.tolist()])[i] > 1)
-    for out, back in ((mine, theirs), ((mine[i] + mine[j])[two], theirs[1:])):
-        if len(out) and len(back):
-            grow = out[:, None] - back[None, :]
-            looked += grow.size
-            grow[grow > slack] = 0
-            at = int(grow.argmax())
-            g = int(grow.flat[at])
-            if g > 0 and (best is None or g > best[0]):
-                x, y = divmod(at, len(back))
-                goes = (int(mine[x]),) if out is mine else (int(mine[i[two][x]]), int(mine[j[two][x]]))
-                best = (g, goes, (int(back[y]),) if back[y] else ())
-            if best and best[0] == slack:
-                break
-    return best, looked + 50
+        step = open_.best_step(i)
+        if step is None:
+            open_.waits[i] = True
+            continue
+        j, out, back = step
+        a, b = open_.content[i], open_.content[j]
+        both = open_.copies[i] // 2 if i == j else min(open_.copies[i], open_.copies[j])
+        open_.remove(i, both)
+        open_.remove(j, both)
+        if open_.copies[i]:
+            heapq.heappush(open_.heap, (sum(a), i))
+        new = []
+        for content, goes, comes in ((a, out, back), (b, back, out)):
+            left = Counter(content)
+            left.subtract(goes)
+            left.update(comes)
+            new.append(tuple(sorted(left.elements(), reverse=True)))
+        count -= both * (not new[0])
+        for x in new:
+            put(x, both)
+    return done + [[list(c), m] for c, m in zip(open_.content, open_.copies, strict=True) if m]
 
 
 class Plan:
@@ -320,8 +371,8 @@ class Plan:
         return self.first[out] + k // self.per[out], self.at[out] + k % self.per[out] * length
 
 
-def plan_bins(counts: dict[int, int], capacity: int, work: int = SEARCH_WORK) -> list[list]:
-    return local_search(best_fit(counts, capacity), capacity, work)
+def plan_bins(counts: dict[int, int], capacity: int) -> list[list]:
+    return local_search(best_fit(counts, capacity), capacity)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
