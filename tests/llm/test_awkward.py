@@ -38,6 +38,25 @@ def test_quality_rule_order_never_changes_the_verdict(docs_of, sample):
         assert got == a
 
 
+def test_quality_rules_are_ordered_by_rejections_per_cost(spark, sf, docs_of):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    first = [r.name for r in quality_rules.ordered(d)]
+    assert all([r.name for r in quality_rules.ordered(d)] == first for _ in range(4))
+    got = quality_rules.measure(quality_rules.prepare(docs_of([(1, "a b"), (2, "! ! !"), (3, "plain words"), (None, None)])), quality_rules.default_rules())
+    assert got["exclamations"] == (2 * (3 + 5 + 11) / 4, 1.5 / 5) and got["symbols"] == (1.0, 0.5 / 5)
+    assert got["shouting"][0] == 32 * (3 + 5 + 11) / 4 and got["stutter"][0] == 32 * 7 / 4
+
+
+def test_the_first_rule_that_rejects_is_reported(docs_of):
+    d = docs_of([(1, " ".join(f"!#{i}" for i in range(30))), (2, "too short"), (3, " ".join(f"plain{i}" for i in range(30)))])
+    rules = quality_rules.default_rules()
+    for some in (rules, rules[::-1]):
+        order = [r.name for r in quality_rules.ordered(d, some)]
+        bad = {r.name for r in rules if quality_rules.prepare(d).where("doc_id = 1").where(r.rejects).count()}
+        got = {r["doc_id"]: r["rejected_by"] for r in quality_rules.score(d, rules=some).collect()}
+        assert got == {1: next(n for n in order if n in bad), 2: "base", 3: None} and len(bad) > 1
+
+
 def test_lm_scoring(docs, none, awkward):
     r = lm_scoring.fit_and_score(docs).collect()
     by = {x["doc_id"]: x for x in r}
@@ -48,27 +67,69 @@ def test_lm_scoring(docs, none, awkward):
     assert lm_scoring.fit_and_score(none).count() == 0
 
 
+def test_lm_query_against_loops(docs_of):
+    """Counts, shares of tokens, training in the order of the hash and every word's sum, by loops."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    rows = [(i, " ".join(f"w{(i * 31 + k * k) % 700} w{k % 7}" for k in range(60 + i))) for i in range(40)] + [(90, "often " * 500 + "seldom"), (91, None), (92, "often"), (92, "often")]
+    d = docs_of(rows)
+    words = {(i, t): (t or "").split() for i, t in rows}
+    counts = Counter(w for i, t in rows for w in (t or "").split())
+    hashed = {w: int(lm_scoring.Words(lm_scoring.pa.array([w]), fold=True).hash[0]) for w in counts}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ranked = sorted(counts, key=lambda w: (-counts[w], signed(hashed[w])))
+    token = {w: i if i < lm_scoring.TOP else lm_scoring.TOP + hashed[w] % lm_scoring.RARE for i, w in enumerate(ranked)}
+    share = Counter()
+    for w in ranked:
+        share[token[w]] += counts[w] + 1
+    occurrences = np.zeros(lm_scoring.TOKENS)
+    for w, n in counts.items():
+        occurrences[token[w]] += n
+    place = [r[0] for r in d.select(F.xxhash64("doc_id", "text")).collect()]
+    texts = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
+    order = [t for _, t in sorted(zip(place, texts, strict=True), key=lambda x: (x[0], str(x[1]))) if words[t]]
+    net = lm_scoring.unigram_start(occurrences)
+    for _ in range(lm_scoring.ROUNDS):
+        mine = lm_scoring.Network(net.flat)
+        lm_scoring._train_shard(mine, [np.array([token[w] for w in words[t]]) for t in order])
+        net = mine
+    got = {(r["doc_id"]): r for r in lm_scoring.fit_and_score(d).collect()}
+    for i, t in rows:
+        tokens = np.array([token[w] for w in words[i, t]], int)
+        want = float(net.log_p(tokens, lm_scoring.contexts(tokens, np.array([0, len(tokens)]))).sum())
+        for w in words[i, t]:
+            if token[w] >= lm_scoring.TOP:
+                want += math.log((counts[w] + 1) / (share[token[w]] + 1))
+        assert got[i]["log_likelihood"] == pytest.approx(want, rel=1e-3, abs=1e-6)
+
+
+def test_lm_scores_do_not_depend_on_partitions_or_lists(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    counts = lm_scoring.count_words(d).persist()
+    vocab = lm_scoring.vocabulary(counts)
+    scores = []
+    for parts, listed in ((2, 1 << 21), (16, 100), (64, 0)):
+        x = d.repartition(parts)
+        net = lm_scoring.train(x, vocab, counts, shard_words=20_000)
+        scores.append({r["doc_id"]: r["log_likelihood"] for r in lm_scoring.score(x, vocab, net, counts, listed=listed).collect()})
+    for other in scores[1:]:
+        assert other == pytest.approx(scores[0], rel=1e-4, abs=1e-6)
+
+
 def test_lm_words_that_share_a_token_have_their_own_probability(docs_of):
     import math
 
     d = docs_of([(1, " ".join(f"w{i} w{i}" for i in range(3000))), (2, "often " * 1000 + "seldom")])
     counts = lm_scoring.count_words(d).persist()
     vocab = lm_scoring.vocabulary(counts)
-    net = lm_scoring.train(d, vocab)
-    new = docs_of([(1, "w2999 often"), (2, "unheard often"), (3, "often")])
-    rare = {r["h"]: r for r in lm_scoring.rare_words(counts, vocab).where("h IS NOT NULL").collect()}
-    assert len(rare) == 3002 - lm_scoring.TOP
-    unseen = {r["token"]: r["log_p"] for r in lm_scoring.rare_words(counts, vocab).where("h IS NULL").collect()}
-    for token, log_p in unseen.items():
-        assert sum(math.exp(r["log_p"]) for r in rare.values() if r["token"] == token) + math.exp(log_p) == pytest.approx(1)
-    got = {r["doc_id"]: r["log_likelihood"] for r in lm_scoring.score(new, vocab, net, counts).collect()}
-    for i, text in ((1, "w2999 often"), (2, "unheard often"), (3, "often")):
-        w = lm_scoring.Words(lm_scoring.pa.array([text]), fold=True)
-        t = vocab(w.hash)
-        want = net.log_p(t, lm_scoring.contexts(t, w.offsets)).sum()
-        for h in w.hash[t >= lm_scoring.TOP].view("i8").tolist():
-            want += rare[h]["log_p"] if h in rare else unseen[h & 63]
-        assert got[i] == pytest.approx(want)
+    net = lm_scoring.train(d, vocab, counts)
+    n, words = lm_scoring.token_counts(counts, vocab)
+    assert n.sum() == 7001 and words.sum() == 3002 and (n + words + 1)[lm_scoring.TOP :].tolist() == lm_scoring._masses(counts, vocab).tolist()
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_scoring.score(docs_of([(1, "w2999 often"), (2, "unheard often"), (3, "w2999"), (4, "unheard")]), vocab, net, counts).collect()}
+    assert math.exp(got[1]) > 0 and got[3] != got[4]
 
 
 def test_window_network_against_loops():
@@ -275,14 +336,36 @@ def test_hot_buckets_are_split(docs_of, monkeypatch):
         rows.append((i, " ".join(w)))
     d = docs_of(rows)
     want = line_dedup.brute_force(dict(rows)), ngram_join.brute_force(dict(rows))
-    monkeypatch.setattr(line_dedup, "CHUNK", 7)
-    monkeypatch.setattr(line_dedup, "TEXT_CHUNK", 5)
+    for k, v in (("CHUNK", 7), ("TEXT_CHUNK", 5), ("SIGN_CHUNK", 6), ("GROUP", 2)):
+        monkeypatch.setattr(line_dedup, k, v)
     monkeypatch.setattr(ngram_join, "CHUNK", 9)
     assert {(r["id"], r["line"]) for r in line_dedup.duplicates(d).collect()} == want[0]
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.join(d).collect()}
     assert got == want[1] and set(got.values()) == {(0, 59)}
 
 
+def test_hot_blocks_of_several_groups(docs_of, monkeypatch):
+    """Families of near copies, chains between them and unrelated lines, all with the same rare words."""
+    import random
+
+    rng = random.Random(11)
+    for k, v in (("CHUNK", 6), ("TEXT_CHUNK", 8), ("SIGN_CHUNK", 5), ("GROUP", 3)):
+        monkeypatch.setattr(line_dedup, k, v)
+    shared = ["rare0", "rare1"]
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(18)] + shared
+        for i in range(12):
+            rows.append((len(rows), " ".join(edited(rng, base, rng.randrange(4), "common"))))
+    chain = [f"c{i}" for i in range(18)] + shared
+    for _ in range(15):
+        chain = edited(rng, chain, 2, "common")
+        rows.append((len(rows), " ".join(chain)))
+    rows += [(len(rows) + i, " ".join([f"u{i}x{j}" for j in range(9)] * 2 + shared)) for i in range(30)]
+    want = line_dedup.brute_force(dict(rows))
+    assert {(r["id"], r["line"]) for r in line_dedup.duplicates(docs_of(rows)).collect()} == want and len(want) > 40
+
+
 def test_levenshtein_threshold():
     import random
 
@@ -328,6 +411,26 @@ def test_case_and_line_breaks_hide_no_copy(spark, docs_of):
     assert got == {(i, i % 10, i >= 60) for i, _ in rows}
 
 
+def test_names_that_begin_sentences(spark, docs_of):
+    one = "Alice has 5 red apples. Alice gives 2 of them to her brother and eats the rest of them at home"
+    two = "Tom has 5 red apples. Sue has 3. Tom gives Sue 2 kg of pears. How many apples are left?"
+    b = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    rows = [
+        (10, one.replace("Alice", "Bob")), (11, "So: \"" + one.replace("Alice", "Bob").replace("5", "7").replace("2", "4") + "\""), (12, "(" + one.replace(" Alice", "\nEve").replace("Alice", "Eve") + ")"),
+        (20, two.replace("Tom", "Bob").replace("Sue", "Ann").replace("5", "7")), (21, two.upper()), (22, two.replace(". ", ".\n").replace("Tom", "Zoë")),
+        (30, one.replace("Alice gives", "Carl gives")), (31, "Alice and Tom went home and nobody else has seen them since then"), (32, "AN ALL CAPITAL LINE OF SHOUTED WORDS THAT GOES ON AND ON AND ON FOR NO GOOD REASON AT ALL"),
+    ]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(docs_of(rows), b).collect()}
+    assert got - {(30, 1)} == {(10, 1), (11, 1), (12, 1), (20, 2), (21, 2), (22, 2)}
+
+
+def test_short_items_are_whole_lines(spark, docs_of):
+    b = spark.createDataFrame([(1, "Name the capital of France."), (2, "Who?"), (3, "1 2 3 4 5 6 7 8 9"), (4, "...")], "item_id long, text string")
+    rows = [(1, "text\n  name the  capital of FRANCE\nmore"), (2, "they name the capital of France here"), (3, "who\n1 2 3 4 5 6 7 8 9"), (4, "1 2 3 4 5 6 7 8 9 10 11 12"), (5, None), (6, "")]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(docs_of(rows), b).collect()}
+    assert got == {(1, 1), (3, 2), (3, 3)}
+
+
 def test_inconsistent_slots_do_not_leak(spark, docs_of):
     w = [" ".join(f"{x}{k}" for k in "abcdef") for x in "pqrs"]
     item, same, mixed = (f"{w[0]} {a} {w[1]} {b} {w[2]} {c} {w[3]}" for a, b, c in ((5, 5, 5), (8, 8, 8), (1, 2, 3)))
@@ -361,6 +464,12 @@ def test_packing_plans():
                 got[x] += copies
         assert got == counts and sum(m for _, m in bins) <= sum(m for _, m in first)
     assert packing.plan_bins({}, 4096) == []
+    # a fixed point: no class has a step to one that is no emptier
+    rest = packing.OpenBins(4096)
+    for content, copies in packing.plan_bins(Counter(rng.randint(900, 2300) for _ in range(400)), 4096):
+        if sum(content) < 4096:
+            rest.add(tuple(content), copies)
+    assert all(rest.best_step(i) is None for i in range(len(rest.content)))
     # a move, a swap and a two-for-one each free a bin
     assert sum(m for _, m in packing.local_search([[[6, 3], 1], [[5, 4], 1], [[2], 1]], 10)) == 2
 
@@ -406,11 +515,58 @@ def test_neighbour_votes_against_loops():
         v = m.project(row[None])[0]
         cos = np.array([float(v @ w) for w in m.vectors])
         near = np.argsort(-cos)[:3]
-        w = np.maximum(cos[near], 1e-6) ** 4
+        w = np.maximum(cos[near], 1e-3) ** quality_knn.STEEP
         assert s == pytest.approx((w * m.labels[near]).sum() / w.sum(), abs=1e-4)
     assert m.score(x)[2] < 0.5 < m.score(x)[0]
 
 
+def test_neighbours_that_tie():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    cos = rng.integers(0, 6, (300, 40)) / 8
+    for k in (1, 7, 39, 40, 50):
+        got = quality_knn.nearest(cos, k)
+        for row, c in zip(got, cos, strict=True):
+            assert sorted(row.tolist()) == sorted(sorted(range(40), key=lambda i: (-c[i], i))[:k])
+
+
+def test_classifier_against_loops(docs_of, spark):
+    """The whole query by loops: sample, idf, directions from a full decomposition, every cosine, votes."""
+    import random
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choice(["plain", "word", "here", "and", "There"] if i % 3 else ["#$%", "##", "BUY", "n0w", "!!!"]) + rng.choice(["", "s", ","]) for _ in range(rng.randint(3, 40))) for i in range(150)}
+    labels = {i: int(i % 3 > 0) for i in range(120)}
+    d = docs_of([*texts.items(), (5, "zz the greater text of an id that repeats")])
+    got = {}
+    for r in quality_knn.classify(d, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect():
+        got.setdefault(r["doc_id"], []).append((r["held_out"], r["score"], r["predicted"]))
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    ids = [i for i in sorted(labels) if not held[i]]
+    least = {i: min(texts[i], "zz the greater text of an id that repeats") if i == 5 else texts[i] for i in texts}
+    counts = quality_knn.terms(pa.array([least[i] for i in ids]))
+    m = quality_knn.Model(counts, np.array([labels[i] for i in ids], float))
+    x = m.weigh(counts).astype(float)
+    _, _, vt = np.linalg.svd(x, full_matrices=False)
+    rank = min(quality_knn.RANK, len(ids))
+    for i, t in texts.items():
+        v = m.weigh(quality_knn.terms(pa.array([t])))[0].astype(float)
+        own = sum(float(v @ d) * d for d in vt[:rank])
+        votes = []
+        for row, j in zip(x, ids, strict=True):
+            other = sum(float(row @ d) * d for d in vt[:rank])
+            votes.append((float(own @ other) / np.sqrt(float(own @ own) * float(other @ other)), labels[j]))
+        votes = sorted(votes, key=lambda c: -c[0])[: quality_knn.NEIGHBOURS]
+        w = [max(c, 1e-3) ** quality_knn.STEEP for c, _ in votes]
+        want = sum(a * y for a, (_, y) in zip(w, votes, strict=True)) / sum(w)
+        assert any(h == held[i] and s == pytest.approx(want, abs=0.02) and p == (s >= 0.3) for h, s, p in got[i])
+
+
 def test_warc(spark):
     html = "<html lang=de><head><title>A &amp; B</title><style>x{}</style></head><body><!-- <p>no --><p>One<br>two&nbsp;three<script>var a='<p>'</script><a href='/x?a=1&amp;b=2'>link</a><td title=\"a>b\">cell"
     rows = [(1, "http://a/ b", html), (2, None, None), (3, "http://c", ""), (3, "http://c", ""), (None, "u", "<p"), (4, "http://d", "x " * 300_000)]
