@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators import axes, diff, relational, temporal, vector
-from ..sources import shred, store
-from . import functions_catalog
+from ..sources import shared, shred, store
+from . import functions_catalog, updates_catalog
 from .flwor import flwor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -851,11 +851,7 @@ def unkeyed_diff(t):
 @query()
 def versioned_store(t):
     """Write customers as a resource, commit changes, and read the difference of two revisions back."""
-    import tempfile
-    import uuid
-
-    at = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()  # a local folder in tests alone
-    db = store.Database(t.spark, f"{at.rstrip('/')}/store-{uuid.uuid4().hex}")
+    db = store.Database(t.spark, shared.new_path(t.spark, "store"))
     r = db.create("customer", t.customer, ["c_custkey"], "loader")
     r.set(c("c_mktsegment") == "BUILDING", c_acctbal=0.0).delete(c("c_acctbal") < 0)
     r.commit("settle", "clerk")
@@ -863,3 +859,4 @@ def versioned_store(t):
 
 
 functions_catalog.register(query)
+updates_catalog.register(query)

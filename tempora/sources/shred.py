@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
@@ -197,30 +198,105 @@ def shred(docs: DataFrame, id_col: str, text_col: str, kind: str = "json") -> Da
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, NODE_SCHEMA.format(id=id_type))
 
 
-def serialize_json(nodes: DataFrame) -> DataFrame:
-    """(doc, json): node tables of JSON documents back to text; each document is one group."""
+def _by_document(nodes: DataFrame, build, column: str) -> DataFrame:
+    """(doc, ``column``): ``build`` of each document's rows in document order, one document in memory at a time."""
     kind = nodes.schema["doc"].dataType.simpleString()
+    names = ["node_key", "parent_key", "kind", "name", "v_str", "v_bool"]
 
-    def build(pdf):
-        import pandas as pd
-
-        made: dict = {}
-        top = None
-        for r in pdf.sort_values("pre").itertuples():
-            v = {"object": dict, "array": list, "null": lambda: None}.get(r.kind, lambda: None)()
-            if r.kind == "number":
-                v = json.loads(r.v_str)
-            elif r.kind == "boolean":
-                v = bool(r.v_bool)
-            elif r.kind == "string":
-                v = r.v_str
-            made[r.node_key] = v
-            if pd.isna(r.parent_key):
-                top = v
-            elif isinstance(up := made[int(r.parent_key)], dict):
-                up[r.name] = v
-            else:
-                up.append(v)
-        return pd.DataFrame({"doc": [pdf.doc.iloc[0]], "json": [json.dumps(top, ensure_ascii=False, separators=(",", ":"))]})
-
-    return nodes.groupBy("doc").applyInPandas(build, f"doc {kind}, json string")
+    def run(batches):
+        current, rows, ids, texts = None, [], [], []
+        for b in batches:
+            docs = b.column(0).to_pylist()
+            for doc, *row in zip(docs, *[b.column(i + 1).to_pylist() for i in range(len(names))], strict=True):
+                if rows and doc != current:
+                    ids.append(current)
+                    texts.append(build(rows))
+                    rows = []
+                current = doc
+                rows.append(row)
+            if len(ids) >= FLUSH:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(texts, pa.string())], names=["doc", column])
+                ids, texts = [], []
+        if rows:
+            ids.append(current)
+            texts.append(build(rows))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(texts, pa.string())], names=["doc", column])
+
+    return nodes.repartition("doc").sortWithinPartitions("doc", "pre").select("doc", *names).mapInArrow(run, f"doc {kind}, {column} string")
+
+
+def _json_text(rows: list[list]) -> str:
+    made: dict = {}
+    top = None
+    for key, parent, kind, name, v_str, v_bool in rows:
+        v = {"object": dict, "array": list, "number": lambda x=v_str: json.loads(x), "boolean": lambda x=v_bool: x, "string": lambda x=v_str: x, "null": lambda: None}[kind]()
+        made[key] = v
+        if parent is None:
+            top = v
+        elif isinstance(up := made[parent], dict):
+            up[name] = v
+        else:
+            up.append(v)
+    return json.dumps(top, ensure_ascii=False, separators=(",", ":"))
+
+
+def serialize_json(nodes: DataFrame) -> DataFrame:
+    """(doc, json): node tables of JSON documents back to text."""
+    return _by_document(nodes, _json_text, "json")
+
+
+def _xml_text(rows: list[list]) -> str:
+    from xml.sax.saxutils import escape, quoteattr
+
+    out, open_, pending = [], [], False  # open_: (key, name) of elements that aren't closed; pending: the last start tag takes attributes yet
+    for key, parent, kind, name, v_str, _ in [*rows, (None, None, "end", None, None, None)]:
+        if kind == "document":
+            continue
+        while open_ and open_[-1][0] != parent:
+            out.append("/>" if pending else f"</{open_[-1][1]}>")
+            pending = False
+            open_.pop()
+        if kind in ("attribute", "namespace"):
+            out.append(f" {name}={quoteattr(v_str or '')}")
+            continue
+        if pending:
+            out.append(">")
+            pending = False
+        if kind == "element":
+            out.append(f"<{name}")
+            open_.append((key, name))
+            pending = True
+        elif kind == "text":
+            out.append(escape(v_str or ""))
+        elif kind == "comment":
+            out.append(f"<!--{v_str or ''}-->")
+        elif kind == "pi":
+            out.append(f"<?{name} {v_str}?>" if v_str else f"<?{name}?>")
+    return "".join(out)
+
+
+def serialize_xml(nodes: DataFrame) -> DataFrame:
+    """(doc, xml): node tables of XML documents back to text, without white space between elements."""
+    return _by_document(nodes, _xml_text, "xml")
+
+
+def serialize_limited(nodes: DataFrame, max_level: int | None = None, max_children: int | None = None, kind: str = "json") -> DataFrame:
+    """Documents cut at a depth and at a number of children per node, as text."""
+    from ..operators import axes
+
+    n = axes.limited(nodes, max_level, max_children)
+    if max_children is not None:  # what hangs below a node that went, goes too: it starts before the end of the last one gone
+        end = F.max(F.when(F.col("pos") >= max_children, F.col("post") + F.col("level"))).over(W.partitionBy("doc").orderBy("pre").rowsBetween(W.unboundedPreceding, -1))
+        n = nodes.withColumn("_end", end).where((F.col("pos") < max_children) & (F.col("_end").isNull() | (F.col("pre") > F.col("_end")))).drop("_end")
+        n = n if max_level is None else n.where(F.col("level") <= max_level)
+    return serialize_json(n) if kind == "json" else serialize_xml(n)
+
+
+def serialize_records(nodes: DataFrame) -> DataFrame:
+    """(doc, json, record): each child of a document's root (an array's items, an object's members) as a text of its own."""
+    # the record of a node is the last top node at or before it
+    w = W.partitionBy("doc").orderBy("pre")
+    n = nodes.where("level >= 1").withColumn("record", F.last(F.when(F.col("level") == 1, F.col("pos")), ignorenulls=True).over(w))
+    n = n.withColumn("parent_key", F.when(F.col("level") > 1, F.col("parent_key"))).withColumn("doc", F.struct("doc", "record"))
+    return serialize_json(n).select("doc.doc", "doc.record", "json")
