@@ -47,10 +47,12 @@ SIDE = 2
 DIM, HIDDEN = 16, 32
 BATCH = 4096
 RATE = 0.1
-ROUNDS = 2
+ROUNDS = 1
 SHARD_WORDS = 1 << 21
+#: Tasks that a round is dealt to at most; each trains its shards in turn.
+MOST_TASKS = 20_000
 #: Words that share a token whose probabilities every task gets (12 bytes each).
-LISTED = 1 << 21
+LISTED = 1 << 20
 
 
 class Vocabulary:
@@ -152,9 +154,10 @@ class Network:
         np.matmul(x.T, dh, out=grad.w)
         grad.b[:] = dh.sum(0)
         dx = (dh @ self.w.T).reshape(-1, DIM)
-        at = ctx.reshape(-1)
-        for k in range(DIM):
-            grad.embed[:, k] = np.bincount(at, dx[:, k], TOKENS + 1)
+        at = ctx.reshape(-1).astype(np.uint16)
+        order = np.argsort(at, kind="stable")
+        which, first = np.unique(at[order], return_index=True)
+        grad.embed[which] = np.add.reduceat(dx[order], first)
         g = grad.flat / n
         if not len(self.sums):
             self.sums = np.full(SIZE, 1e-8, np.float32)
@@ -280,7 +283,7 @@ def train(docs: DataFrame, vocab: Vocabulary, counts: DataFrame, rounds: int = R
     occurrences, _ = token_counts(counts, vocab)
     net, shards = unigram_start(occurrences), max(1, -(-int(occurrences.sum()) // shard_words))
     tokens = materialize(_shards(docs, vocab, shards, id_col, text_col), "lm-tokens")
-    dealt = tokens.repartition("shard").sortWithinPartitions("shard", "place", "tokens").select("shard", "tokens")
+    dealt = tokens.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "place", "tokens").select("shard", "tokens")
     for _ in range(rounds):
         start = sc.broadcast(net.flat)
 
@@ -295,10 +298,10 @@ def train(docs: DataFrame, vocab: Vocabulary, counts: DataFrame, rounds: int = R
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE + 1)), pa.array(np.append(total, seen))], names=["at", "x"])
             give_back()
 
-        got = dealt.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()  # SIZE + 1 rows
-        if len(got):
+        got = dealt.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # SIZE + 1 rows
+        if got.num_rows:
             x = np.zeros(SIZE + 1)
-            x[got["at"].to_numpy()] = got["x"].to_numpy()
+            x[got.column("at").to_numpy()] = got.column("x").to_numpy()
             net = Network(x[:-1] / x[-1])
     discard(tokens)
     return net
@@ -329,10 +332,10 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame, i
     floor = least_listed(counts, listed)
     spark = docs.sparkSession
     rare = _with_token(counts, vocab).where(F.col("token") >= TOP)
-    known = rare.where(F.col("n") >= floor).select("h", "n").toPandas().sort_values("h")  # ``listed`` rows at most
-    h = known["h"].to_numpy(np.int64).view(np.uint64)
+    known = rare.where(F.col("n") >= floor).select("h", "n").toArrow()  # ``listed`` rows at most
+    h = known.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    h, log_n = h[order], np.log1p(known["n"].to_numpy(float)[order]).astype(np.float32)
+    h, log_n = h[order], np.log1p(known.column("n").to_numpy()[order].astype(np.float32))
     shared = spark.sparkContext.broadcast((vocab, net.flat, mass, h, log_n))
 
     def run(batches):
