@@ -210,15 +210,23 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = 2 << 20, rows: int
 # --- connected components ---------------------------------------------------------------------
 
 
+#: Edges up to which one task solves the graph (some 32 MB of them); beyond it the tables below do.
+ONE_TASK_EDGES = 1_000_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, comp): comp is the least node of each component of the undirected ``edges`` (a, b).
+    """(node, comp): comp is the least node of each component of the undirected ``edges`` (a, b), a table that is cheap to read twice.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014): every
+    Up to ``ONE_TASK_EDGES``, counted, one task joins roots.  Beyond it,
+    alternating large-star and small-star rounds (Kiveris et al. 2014): every
     round is two aggregations and joins whose rows never exceed twice the
     edges, and edges end as stars around each component's least node.  Rounds
     are cut by tables in the shared folder; nothing but a row count and a
     checksum reaches the driver.  Nodes without edges don't appear.
     """
+    kind = edges.schema["a"].dataType.simpleString()
+    if edges.count() <= ONE_TASK_EDGES:
+        return materialize(edges.select("a", "b").where("a <> b").coalesce(1).mapInArrow(_solve, f"node {kind}, comp {kind}"), "cc")
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = materialize(e, "cc")
     mark = None
@@ -238,6 +246,44 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return members.union(roots)
 
 
+def _solve(batches):
+    """All edges of a small graph in one task: (node, comp)."""
+    t = [b for b in batches if b.num_rows]
+    if not t:
+        return
+    both = pa.concat_arrays([*[b.column(0) for b in t], *[b.column(1) for b in t]])
+    first, code = _ranked(both)
+    a, b = np.split(code, 2)
+    root = np.arange(len(first))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    for i in range(0, len(root), 1 << 16):
+        yield pa.RecordBatch.from_arrays([both.take(pa.array(first[i : i + (1 << 16)])), both.take(pa.array(first[root[i : i + (1 << 16)]]))], names=["node", "comp"])
+    give_back()
+
+
+def _ranked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct value, in order; every value's rank): whole numbers, structs of them, or texts and bytes."""
+    if pa.types.is_struct(values.type):
+        parts = [x.to_numpy(zero_copy_only=False) for x in values.flatten()]
+        rows = np.empty(len(values), [(f"f{i}", x.dtype) for i, x in enumerate(parts)])
+        for i, x in enumerate(parts):
+            rows[f"f{i}"] = x
+    elif pa.types.is_integer(values.type):
+        rows = values.to_numpy(zero_copy_only=False)
+    else:
+        rows = np.array(values.to_pylist(), object)
+    _, first, code = np.unique(rows, return_index=True, return_inverse=True)
+    return first, code.reshape(-1)
+
+
 def _star(e: DataFrame, large: bool) -> DataFrame:
     """Link each node's neighbours to the least of them and the node: the larger ones, or the smaller ones and itself.
 
