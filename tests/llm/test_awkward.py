@@ -588,10 +588,19 @@ def test_warc(spark):
     assert warc.derivatives(warc.build([("WARC-Type", "request")], b"")) == []
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
+    from tempora.llm import common
     from tempora.llm.common import connected_components
 
+    monkeypatch.setattr(common, "ONE_TASK_EDGES", one_task)
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (301, 300), (300, 301)]
     got = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 300: 300, 301: 300}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rows = spark.createDataFrame(pairs, "a long, b long")
+    node = lambda c: F.struct((F.col(c) % 7).alias("x"), F.col(c).alias("y")).alias(c)
+    structs = {r["node"]["y"]: r["comp"]["y"] for r in connected_components(rows.select(node("a"), node("b"))).collect()}
+    assert structs == {k: {0: 0, 100: 105, 300: 301}[v] for k, v in got.items()}
+    texts = {r["node"]: r["comp"] for r in connected_components(rows.select(F.col("a").cast("string"), F.col("b").cast("string"))).collect()}
+    assert texts == {str(k): str(v) for k, v in got.items()}
