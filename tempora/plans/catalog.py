@@ -762,10 +762,11 @@ def snapshot_profile(t):
 # --- text front end ---------------------------------------------------------------------------------------
 
 
-def _text(t, text: str) -> DataFrame:
+def _text(t, text: str, made: dict | None = None, **options) -> DataFrame:
     from . import jsoniq
 
-    return jsoniq.run(t.spark, {n: getattr(t, n) for n in re.findall(r'collection\("(\w+)"\)', text)}, text)
+    made = made or {}
+    return jsoniq.run(t.spark, {n: made[n] if n in made else getattr(t, n) for n in re.findall(r'collection\("(\w+)"\)', text)}, text, **options)
 
 
 @query("SELECT l_returnflag AS flag, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem WHERE l_discount > 0.02 GROUP BY 1")
@@ -791,6 +792,61 @@ def text_subsequence(t):
     return _text(t, 'subsequence(for $s in collection("supplier") order by $s.s_acctbal descending, $s.s_suppkey return $s.s_suppkey, 2, 5)')
 
 
+@query("SELECT l_returnflag AS flag, count(*) AS n FROM lineitem WHERE l_discount > 0.01 GROUP BY 1 HAVING count(*) > 1400 AND avg(l_quantity) > 1")
+def text_having(t):
+    return _text(t, """for $l in collection("lineitem") where $l.l_discount gt 0.01 group by $f := $l.l_returnflag let $n := count($l)
+                       where $n gt 1400 and avg($l.l_quantity) gt 1 order by $n descending return {"flag": $f, "n": $n}""")
+
+
+@query("SELECT vec_id AS id, len(list_filter(embedding, lambda x: x::DOUBLE > 0.1::DOUBLE)) AS n FROM embeddings WHERE label < 3")
+def text_predicate(t):
+    return _text(t, 'for $e in collection("embeddings")[?$$.label lt 3] return {"id": $e.vec_id, "n": size($e.embedding[?$$ gt 0.1])}').withColumn("n", c("n").cast("long"))
+
+
+def _nested(t) -> DataFrame:
+    """region documents with members called name at several depths."""
+    item = lambda x: F.struct(F.concat("r_name", F.lit(x)).alias("name"), F.lit(len(x)).alias("size"))
+    return t.region.select(c("r_regionkey").alias("k"), F.struct(c("r_name").alias("name"), F.array(item("1"), item("22")).alias("items")).alias("info"))
+
+
+@query("SELECT r_regionkey AS k, [r_name, r_name || '1', r_name || '22'] AS names, [1, 2] AS sizes, 0 AS nothing FROM region")
+def text_descendant(t):
+    out = _text(t, 'for $d in collection("nested") return {"k": $d.k, "names": $d=>>name, "sizes": $d=>>size, "nothing": size($d=>>none)}', {"nested": _nested(t)})
+    return out
+
+
+@query("SELECT r_regionkey AS k, [r_name || '1', r_name || '22'] AS names, i AS item, r_name || CASE i WHEN 1 THEN '1' ELSE '22' END AS name FROM region, (VALUES (1), (2)) v(i)")
+def text_unbox(t):
+    return _text(t, 'for $d in collection("nested") for $i at $p in $d.info.items[] return {"k": $d.k, "names": $d.info.items[].name, "item": $p, "name": $i.name}', {"nested": _nested(t)})
+
+
+@query("SELECT o_custkey AS c, count(*) AS n, round(max(o_totalprice), 2) AS most FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
+def text_nested(t):
+    q = """for $x in (for $o in collection("orders") where $o.o_totalprice gt 100000 return {"c": $o.o_custkey, "p": $o.o_totalprice})
+           group by $c := $x.c return {"c": $c, "n": count($x), "most": max($x.p)}"""
+    return _text(t, q).withColumn("most", F.round("most", 2))
+
+
+@query("SELECT vec_id AS id, len(list_filter(embedding, lambda x: x::DOUBLE * 2 > 0.3::DOUBLE)) AS n FROM embeddings")
+def text_array_flwor(t):
+    q = 'for $e in collection("embeddings") return {"id": $e.vec_id, "n": size(for $x in $e.embedding let $y := number($x) * 2 where $y gt 0.3 return $y)}'
+    return _text(t, q).withColumn("n", c("n").cast("long"))
+
+
+@query("SELECT l_returnflag AS flag, round(sum(l_extendedprice * (1 - l_discount)), 1) AS net, max(length(l_linestatus)) AS m FROM lineitem WHERE l_discount > 0.05 GROUP BY 1")
+def text_functions(t):
+    q = """declare variable $low external; declare function local:net($p, $d) { $p * (1 - $d) };
+           for $l in collection("lineitem") where $l.l_discount gt $low group by $f := $l.l_returnflag
+           return {"flag": $f, "net": sum(local:net($l.l_extendedprice, $l.l_discount)), "m": max(my:length($l.l_linestatus))}"""
+    return _text(t, q, variables={"low": 0.05}, functions={"my:length": F.length}).withColumns({"net": F.round("net", 1), "m": c("m").cast("long")})
+
+
+@query("SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS state, translate(o_orderpriority, '12345', 'abcde') AS p FROM orders")
+def text_switch(t):
+    return _text(t, """for $o in collection("orders") return {"k": $o.o_orderkey, "state": switch ($o.o_orderstatus) case "F" return "done" case "O" return "open" default return "other",
+                       "p": translate($o.o_orderpriority, "12345", "abcde")}""")
+
+
 # --- more tree operators ----------------------------------------------------------------------------------
 
 

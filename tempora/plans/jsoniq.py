@@ -8,13 +8,16 @@
         order by sum($v) descending
         return {"customer": $c, "n": count($o), "total": sum($v)}''')
 
-Clauses: ``for`` (over collections, or arrays with ``at`` and ``allowing
-empty``), ``let``, ``where``, ``group by``, ``count``, ``order by``, ``return``;
-``subsequence(<query>, s, n)`` and ``count|sum|avg|min|max(<query>)`` around a
-query; quantifiers, conditionals, comparisons, arithmetic, object
-constructors, member and array access, and the function table below.  Two
-``for`` clauses over collections join; equalities between them in ``where``
-become the join's keys by Catalyst's own rewriting.
+Clauses: ``for`` (over collections, queries in parentheses, or arrays with ``at``
+and ``allowing empty``), ``let``, ``where``, ``group by``, ``count``, ``order
+by``, ``return``; ``let`` and ``where`` after ``group by`` see the groups' aggregates.
+``subsequence(<query>, s, n)`` and ``count|sum|avg|min|max(<query>)`` stand around
+a query; quantifiers, conditionals, ``switch``, comparisons, arithmetic, object
+constructors, FLWOR over arrays within expressions, member and array access,
+predicates ``[?$$.x gt 1]``, unboxing ``[]``, members at any depth ``=>>name``, and
+the function table below.  A prolog declares functions and external variables.
+Two ``for`` clauses over collections join; a ``where`` must follow that relates
+them by an equality, which becomes the join's key by Catalyst's own rewriting.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import semantics as S
 
 _TOKEN = re.compile(
-    r"""\s*(?:(?P<num>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<str>"(?:[^"\\]|\\.)*")|(?P<var>\$[A-Za-z_][\w-]*)"""
-    r"""|(?P<name>[A-Za-z_][\w-]*(?::[A-Za-z_][\w-]*)?)|(?P<op>:=|!=|<=|>=|\|\||[-+*=<>(){}\[\],:.?]))"""
+    r"""\s*(?:(?P<num>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<str>"(?:[^"\\]|\\.)*")|(?P<var>\$\$|\$[A-Za-z_][\w-]*)"""
+    r"""|(?P<name>[A-Za-z_][\w-]*(?::[A-Za-z_][\w-]*)?)|(?P<op>:=|=>>|!=|<=|>=|\|\||[-+*=<>(){}\[\],:.?;]))"""
 )
 
 VALUE_COMPARE = {"eq": "=", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
@@ -44,7 +48,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "string": lambda x: x.cast("string"), "concat": S.concat, "string-length": F.char_length, "upper-case": F.upper, "lower-case": F.lower,
     "contains": lambda a, b: a.contains(b), "starts-with": lambda a, b: a.startswith(b), "ends-with": lambda a, b: a.endswith(b),
     "normalize-space": S.normalize_space, "substring": lambda s, a, n=None: S.substring(s, a, n), "substring-before": S.substring_before, "substring-after": S.substring_after,
-    "matches": lambda a, b: F.regexp_like(a, b), "replace": lambda a, b, c: F.regexp_replace(a, b, c), "translate": lambda a, b, c: F.translate(a, *[_literal(x) for x in (b, c)]),
+    "matches": lambda a, b: F.regexp_like(a, b), "replace": lambda a, b, c: F.regexp_replace(a, b, c),
     "not": S.negate, "exists": lambda x: x.isNotNull(), "empty": lambda x: x.isNull(), "true": lambda: F.lit(True), "false": lambda: F.lit(False),
     "head": S.head, "tail": S.tail, "reverse": F.reverse, "distinct-values": S.distinct_values, "jn:size": F.size, "size": F.size, "keys": F.map_keys, "deep-equal": S.deep_equal,
 }
@@ -54,10 +58,6 @@ class SyntaxProblem(ValueError):
     """Text that isn't in the subset."""
 
 
-def _literal(c: Column) -> str:
-    return c._jc.toString().strip('"')
-
-
 @dataclass
 class Scope:
     """Variables: Columns, or the names of collection rows."""
@@ -66,9 +66,48 @@ class Scope:
     rows: dict[str, str] = field(default_factory=dict)
     grouped: bool = False
 
+    def also(self, **columns: Column) -> Scope:
+        """With further variables (keyed without their dollar; ``context`` is ``$$``)."""
+        return Scope({**self.columns, **{("$$" if k == "context" else f"${k}"): v for k, v in columns.items()}}, self.rows, self.grouped)
+
+
+def _getter(name: str) -> Callable[[Column], Column]:
+    return lambda x: x[name]
+
+
+def _as_text(kind: T.DataType) -> Callable[[Column], Column]:
+    return (lambda x: x.cast("string")) if isinstance(kind, T.AtomicType) else (lambda x: F.to_json(x))
+
+
+def below(value: Column, kind: T.DataType, name: str) -> list[tuple[Column, T.DataType]]:
+    """All members called ``name`` in a value of a known type, at any depth, as arrays with their items' type."""
+    if isinstance(kind, T.ArrayType):
+        out = []
+        if isinstance(kind.elementType, T.StructType):
+            for f in kind.elementType.fields:
+                inner = F.transform(value, _getter(f.name))
+                if f.name == name:
+                    out.append((inner, f.dataType))
+                for c, t in below(F.flatten(inner) if isinstance(f.dataType, T.ArrayType) else inner, f.dataType if isinstance(f.dataType, T.ArrayType) else T.ArrayType(f.dataType), name):
+                    out.append((c, t))
+        return out
+    if isinstance(kind, T.StructType):
+        out = []
+        for f in kind.fields:
+            inner = value[f.name]
+            if f.name == name:
+                out.append((F.array(inner), f.dataType))
+            out += below(inner, f.dataType, name)
+        return out
+    return []
+
 
 class Parser:
-    def __init__(self, text: str, collections: Mapping[str, DataFrame]):
+    def __init__(self, text: str, collections: Mapping[str, DataFrame], variables: Mapping[str, object] | None = None, functions: Mapping[str, Callable[..., Column]] | None = None):
+        self.variables, self.natives, self.declared = dict(variables or {}), dict(functions or {}), {}
+        self.literals: dict[int, tuple[Column, object]] = {}
+        self.globals: dict[str, Column] = {}
+        self.df: DataFrame | None = None
         self.tokens, at = [], 0
         text = re.sub(r"\(:.*?:\)", " ", text, flags=re.S).strip()
         while at < len(text):
@@ -104,6 +143,35 @@ class Parser:
 
     # queries
 
+    def prolog(self) -> None:
+        """``declare variable $x external;`` and ``declare function local:f($a, $b) { .. };``"""
+        while self.take("declare"):
+            if self.take("variable"):
+                name = self.kind("var")
+                if self.take("external"):
+                    if name[1:] not in self.variables:
+                        raise SyntaxProblem(f"{name} isn't bound by the caller")
+                    self.globals[name] = F.lit(self.variables[name[1:]])
+                else:
+                    self.need(":=")
+                    self.globals[name] = self.expr(Scope(dict(self.globals)))
+            else:
+                self.need("function")
+                name, params = self.kind("name"), []
+                self.need("(")
+                while not self.take(")"):
+                    params.append(self.kind("var"))
+                    self.take(",")
+                self.need("{")
+                self.declared[name] = (params, self.at)
+                depth = 1
+                while depth:
+                    depth += {"{": 1, "}": -1}.get(self.tokens[self.at][1] if self.tokens[self.at][0] == "op" else "", 0)
+                    if self.tokens[self.at][0] == "end":
+                        raise SyntaxProblem(f"the body of {name} doesn't end")
+                    self.at += 1
+            self.need(";")
+
     def query(self) -> DataFrame:
         if self.peek("for", "let"):
             return self.flwor()
@@ -127,8 +195,11 @@ class Parser:
         raise SyntaxProblem(f"a query can't begin with {ahead!r}")
 
     def flwor(self) -> DataFrame:
-        df, scope = None, Scope()
+        df, scope, having, outer_df = None, Scope(dict(self.globals)), [], self.df
+        self.sources = 0
+        joined = False
         while True:
+            self.df = df
             if self.take("for"):
                 df = self.for_clause(df, scope)
                 while self.take(","):
@@ -137,13 +208,18 @@ class Parser:
                 name = self.kind("var")
                 self.need(":=")
                 value = self.expr(scope)
-                df, scope.columns[name] = self.bind(df, value)
+                df, scope.columns[name] = (df, value) if scope.grouped or df is None else self.bind(df, value)
             elif self.take("where"):
-                df = df.where(self.filter(scope))
+                if scope.grouped:
+                    having.append(S.known(self.expr(scope)))
+                else:
+                    df, joined = df.where(self.filter(scope)), True
             elif self.take("group"):
                 self.need("by")
                 df = self.group_clause(df, scope)
             elif self.take("count"):
+                if scope.grouped:
+                    raise SyntaxProblem("count after group by isn't in the subset")
                 name = self.kind("var")
                 df, scope.columns[name] = self.bind(df, F.row_number().over(W.orderBy(F.monotonically_increasing_id())))
             elif self.peek("order", "return", "stable"):
@@ -163,9 +239,14 @@ class Parser:
                     break
         self.need("return")
         out = self.returned(scope)
+        if self.sources > 1 and not joined:
+            raise SyntaxProblem("collections must be related by an equality in a where clause")
+        self.df = outer_df
         if scope.grouped:
-            aggs = [c.alias(f"_o{i}") for i, (c, _) in enumerate(order)] + [c.alias(n) for n, c in out]
+            aggs = [c.alias(f"_o{i}") for i, (c, _) in enumerate(order)] + [c.alias(n) for n, c in out] + [c.alias(f"_h{i}") for i, c in enumerate(having)]
             df = df.groupBy(*self.keys).agg(*aggs)
+            for i in range(len(having)):
+                df = df.where(F.col(f"_h{i}"))
             order = [(F.col(f"_o{i}"), d) for i, (_, d) in enumerate(order)]
             out = [(n, F.col(f"`{n}`")) for n, _ in out]
         if order:
@@ -196,14 +277,31 @@ class Parser:
             self.need("empty")
         place = self.kind("var") if self.take("at") else None
         self.need("in")
-        if self.tokens[self.at][1] in ("collection", "jn:doc"):
-            rows = self.collection()
+        nested = self.peek("(") and self.tokens[self.at + 1][1] in ("for", "let", "subsequence")
+        if nested or self.tokens[self.at][1] in ("collection", "jn:doc"):
+            if nested:
+                self.need("(")
+                held = self.sources
+                rows = self.query()
+                self.sources = held
+                self.need(")")
+            else:
+                rows = self.collection()
             self.made += 1
+            self.sources += 1
             alias = f"_r{self.made}"
-            part = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(alias))
+            columns = [F.col(f"`{c}`") for c in rows.columns]
+            part = rows.select((columns[0] if nested and rows.columns == ["value"] else F.struct(*columns)).alias(alias))
             scope.rows[name] = alias
             scope.columns[name] = F.col(alias)
+            while self.peek("["):
+                self.need("[")
+                if self.take("?"):
+                    self.df = part
+                    part = part.where(S.known(self.expr(scope.also(context=F.col(alias)))))
+                self.need("]")
             return part if df is None else df.crossJoin(part)
+        self.df = df
         array = self.expr(scope)
         self.made += 1
         pos, item = f"_p{self.made}", f"_v{self.made}"
@@ -220,8 +318,6 @@ class Parser:
         while self.take(","):
             name = self.kind("str")[1:-1]
         self.need(")")
-        if self.take("["):
-            self.need("]")
         if name not in self.collections:
             raise SyntaxProblem(f"no collection {name!r}")
         return self.collections[name]
@@ -254,7 +350,68 @@ class Parser:
 
     # expressions, loosest first
 
+    def predicate(self, scope: Scope, here: int) -> Callable[[Column], Column]:
+        """The test that begins at ``here``, of an item as ``$$``."""
+
+        def test(x: Column) -> Column:
+            self.at = here
+            return S.known(self.expr(scope.also(context=x)))
+
+        return test
+
+    def over_array(self, scope: Scope) -> Column:
+        """``for $x in array [let ..] [where ..] return e`` within an expression: an array."""
+        name = self.kind("var")
+        self.need("in")
+        array = self.operand(scope)
+        clauses = self.at
+
+        def run(x: Column, want: str) -> Column:
+            self.at = clauses
+            inner = scope.also(**{name[1:]: x})
+            keep = F.lit(True)
+            while not self.take("return"):
+                if self.take("let"):
+                    var = self.kind("var")
+                    self.need(":=")
+                    inner = inner.also(**{var[1:]: self.expr(inner)})
+                else:
+                    self.need("where")
+                    keep = keep & S.known(self.expr(inner))
+            out = self.expr(inner)
+            return keep if want == "keep" else out
+
+        return F.transform(F.filter(array, lambda x: run(x, "keep")), lambda x: run(x, "value"))
+
+    def members_below(self, value: Column, name: str) -> Column:
+        """``=>>name``: an array of all members called so, at any depth; as text where their types differ."""
+        if self.df is None:
+            raise SyntaxProblem("=>> needs a row to look into")
+        found = below(value, self.df.select(value.alias("x")).schema["x"].dataType, name)
+        if not found:
+            return F.array().cast("array<string>")
+        if len({t.simpleString() for _, t in found}) > 1:
+            found = [(F.transform(c, _as_text(t)), t) for c, t in found]
+        return F.filter(F.concat(*[F.coalesce(c, F.array()) for c, _ in found]), lambda x: x.isNotNull())
+
     def expr(self, scope: Scope) -> Column:
+        if self.peek("for") and self.tokens[self.at + 1][0] == "var":
+            self.need("for")
+            return self.over_array(scope)
+        if self.take("switch"):
+            self.need("(")
+            value = self.expr(scope)
+            self.need(")")
+            out = None
+            while self.take("case"):
+                case = self.expr(scope)
+                self.need("return")
+                result = self.expr(scope)
+                out = (F if out is None else out).when(value.eqNullSafe(case), result)
+            self.need("default")
+            self.need("return")
+            last = self.expr(scope)
+            return last if out is None else out.otherwise(last)
         if self.take("if"):
             self.need("(")
             test = self.expr(scope)
@@ -321,8 +478,18 @@ class Parser:
                 k, v = self.tokens[self.at]
                 self.at += 1
                 out = out.getField(v[1:-1] if k == "str" else v)
+            elif self.take("=>>"):
+                k, v = self.tokens[self.at]
+                self.at += 1
+                out = self.members_below(out, v[1:-1] if k == "str" else v)
             elif self.peek("["):
                 self.at += 1
+                if self.take("]"):
+                    continue  # unboxed: members of an array's objects are taken from each
+                if self.take("?"):
+                    out = F.filter(out, self.predicate(scope, self.at))
+                    self.need("]")
+                    continue
                 start = self.index()
                 if self.take(":"):
                     out = S.cut(out, start or 0, None if self.peek("]") else self.index())
@@ -344,7 +511,10 @@ class Parser:
         if k == "num":
             return F.lit(float(v) if re.search(r"[.eE]", v) else int(v))
         if k == "str":
-            return F.lit(re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), v[1:-1]))
+            text = re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), v[1:-1])
+            out = F.lit(text)
+            self.literals[id(out)] = (out, text)
+            return out
         if k == "var":
             if v not in scope.columns:
                 raise SyntaxProblem(f"{v} isn't bound")
@@ -361,6 +531,19 @@ class Parser:
                 args.append(self.expr(scope))
                 if not self.peek(")"):
                     self.need(",")
+            if v in self.declared:
+                params, body = self.declared[v]
+                if len(params) != len(args):
+                    raise SyntaxProblem(f"{v} takes {len(params)} arguments")
+                here, self.at = self.at, body
+                out = self.expr(Scope({**self.globals, **dict(zip(params, args, strict=True))}, grouped=scope.grouped))
+                self.need("}")
+                self.at = here
+                return out
+            if v in self.natives:
+                return self.natives[v](*args)
+            if v == "translate" and len(args) == 3 and all(id(x) in self.literals for x in args[1:]):
+                return F.translate(args[0], *[self.literals[id(x)][1] for x in args[1:]])
             if v in AGGREGATES and scope.grouped:
                 return AGGREGATES[v](*args)
             if v in FUNCTIONS:
@@ -369,9 +552,13 @@ class Parser:
         raise SyntaxProblem(f"unexpected {v!r}")
 
 
-def run(spark: SparkSession, collections: Mapping[str, DataFrame], text: str) -> DataFrame:
-    """Compile a query; nothing runs until the DataFrame does."""
-    p = Parser(text, collections)
+def run(spark: SparkSession, collections: Mapping[str, DataFrame], text: str, variables: Mapping[str, object] | None = None, functions: Mapping[str, Callable[..., Column]] | None = None) -> DataFrame:
+    """Compile a query; nothing runs until the DataFrame does.
+
+    ``variables``: values of ``declare variable $x external``; ``functions``: native functions, of Columns, by name.
+    """
+    p = Parser(text, collections, variables, functions)
+    p.prolog()
     out = p.query()
     if p.tokens[p.at][0] != "end":
         raise SyntaxProblem(f"text after the query: {p.tokens[p.at][1]!r}")
