@@ -745,6 +745,13 @@ def knn_batch(t):
     return vector.knn(e, e.where("vec_id % 20 = 0"), 5, "l2").select("query_id", "id", "rank")
 
 
+@query()
+def ann_search(t):
+    """Approximate neighbours of every vector whose id is divisible by 20, from an index of all vectors."""
+    e = t.embeddings
+    return vector.ListIndex(e).search(e.where("vec_id % 20 = 0"), 10)
+
+
 @query()
 def hyperplane_buckets(t):
     return vector.hyperplane_index(t.embeddings, 64).select("vec_id", "buckets")

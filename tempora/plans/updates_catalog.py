@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import updates as U
-from ..sources import shared, shred
+from ..sources import indexes, shared, shred
 
 c = F.col
 
@@ -175,3 +175,67 @@ def register(query) -> None:
         same = [x for x in U.COLUMNS if x not in ("pre", "post")]
         d = U.changes(n.select(*same, F.lit(0).alias("pre"), F.lit(0).alias("post")), after.select(*same, F.lit(0).alias("pre"), F.lit(0).alias("post")))
         return d.select(c("doc").alias("nation"), "op", "path")
+
+    # --- indexes ---------------------------------------------------------------------------------
+
+    def made(t, kind: str):
+        """(indexes of the nations' documents, the documents): all names, two paths, values of two types."""
+        n = _json_docs(t) if kind == "json" else _xml_docs(t)
+        i = indexes.Indexes(t.spark, shared.new_path(t.spark, "indexes"))
+        i.create_name(n)
+        i.create_path(n, ["$.k", "$.o.z"] if kind == "json" else ["/r/a", "/r/b"])
+        i.create_cas(n, "string")
+        i.create_cas(n, "number" if kind == "json" else "string", ["$.k"] if kind == "json" else ["/r/a/@x"])
+        return i, n
+
+    @query("""SELECT what, n_nationkey AS nation, path FROM nation, (VALUES ('name', '$.o'), ('name', '$.o.z'), ('path', '$.k'), ('path', '$.o.z'), ('cas', '$.a[]')) v(what, path)
+    UNION ALL SELECT 'greater', n_nationkey, '$.k' FROM nation WHERE n_nationkey > 20 UNION ALL SELECT 'lower', n_nationkey, '$.k' FROM nation WHERE n_nationkey <= 3
+    UNION ALL SELECT 'range', n_nationkey, '$.k' FROM nation WHERE n_nationkey >= 5 AND n_nationkey < 9""")
+    def json_indexes(t):
+        i, _ = made(t, "json")
+        number = i.find_cas("$.k", "number")
+        scans = {
+            "name": i.scan_name(i.find_name("o"), "o", "z"), "path": i.scan_path(i.find_path("$.k"), "$.k", "$.o.z"), "cas": i.scan_cas(i.find_cas("$.a[]"), "b", "EQUAL", ["$.a[]"]), "greater": i.scan_cas(number, 20, "GREATER"),
+            "lower": i.scan_cas(number, 3, "LOWER_OR_EQUAL"), "range": i.scan_cas_range(number, 5, 9, True, False),
+        }
+        return reduce(DataFrame.union, [s.select(F.lit(k).alias("what"), c("doc").alias("nation"), "path") for k, s in scans.items()])
+
+    @query("""SELECT what, n_nationkey AS nation, path FROM nation, (VALUES ('name', '/r/a'), ('path', '/r/b')) v(what, path) UNION ALL SELECT 'cas', n_nationkey, '/r/a/text()' FROM nation WHERE n_name = (SELECT min(n_name) FROM nation)
+    UNION ALL SELECT 'range', n_nationkey, '/r/a/@x' FROM nation WHERE CAST(n_nationkey AS VARCHAR) >= '2' AND CAST(n_nationkey AS VARCHAR) <= '5'""")
+    def xml_indexes(t):
+        i, _ = made(t, "xml")
+        least = t.nation.agg(F.min("n_name")).first()[0]
+        scans = {
+            "name": i.scan_name(i.find_name("a"), "a"), "path": i.scan_path(i.find_path("/r/b"), "/r/b"), "cas": i.scan_cas(i.find_cas("/r/a/text()"), least), "range": i.scan_cas_range(1, "2", "5", paths=["/r/a/@x"]),
+        }
+        return reduce(DataFrame.union, [s.select(F.lit(k).alias("what"), c("doc").alias("nation"), "path") for k, s in scans.items()])
+
+    @query("""SELECT * FROM (VALUES ('name of any', 0), ('path indexed', 0), ('path not indexed', -1), ('string values', 0), ('number values', 1), ('Boolean values', -1), ('projection', 0), ('projection of more', -1), ('valid time', 0),
+    ('dropped valid time', -1), ('dropped projection', -1), ('kinds', 5)) v(what, number)""")
+    def index_lookup(t):
+        """What the find functions answer, before and after indexes are dropped."""
+        i, _ = made(t, "json")
+        i.create_projection(t.nation, ["n_nationkey", "n_name"])
+        i.create_valid_time(t.orders.select("o_orderkey", "o_orderdate", c("o_orderdate").alias("until")), "o_orderdate", "until")
+        kinds = len({d["kind"] for d in i.definitions()})
+        out = [
+            ("name of any", i.find_name("q")), ("path indexed", i.find_path("$.o.z")), ("path not indexed", i.find_path("$.a")), ("string values", i.find_cas("$.a[]")), ("number values", i.find_cas("$.k", "number")),
+            ("Boolean values", i.find_cas("$.o.z", "boolean")), ("projection", i.find_projection(["n_name"])), ("projection of more", i.find_projection(["n_name", "n_regionkey"])), ("valid time", i.find_valid_time("o_orderdate", "until")), ("kinds", kinds),
+        ]
+        i.drop("projection", 0)
+        i.drop("valid-time", 0)
+        out += [("dropped valid time", i.find_valid_time("o_orderdate", "until")), ("dropped projection", i.find_projection(["n_name"]))]
+        return t.spark.createDataFrame(out, "what string, number int")
+
+    @query("SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-01' AND (o_orderkey % 5 = 0 OR o_orderdate + INTERVAL 90 DAY >= TIMESTAMP '1996-06-01')")
+    def valid_time_index(t):
+        i = indexes.Indexes(t.spark, shared.new_path(t.spark, "indexes"))
+        until = F.when(c("o_orderkey") % 5 != 0, c("o_orderdate") + F.expr("INTERVAL 90 DAY"))
+        number = i.create_valid_time(t.orders.select("o_orderkey", c("o_orderdate").alias("since"), until.alias("until")), "since", "until")
+        return i.scan_valid_time(number, F.expr("timestamp_ntz '1996-06-01'")).select("o_orderkey")
+
+    @query("SELECT n_nationkey, n_name FROM nation")
+    def projection_index(t):
+        i = indexes.Indexes(t.spark, shared.new_path(t.spark, "indexes"))
+        i.create_projection(t.nation, ["n_nationkey", "n_name"])
+        return i.scan_projection(i.find_projection(["n_name"])).select("n_nationkey", "n_name")

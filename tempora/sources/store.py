@@ -1,15 +1,20 @@
 """A versioned store: append-only change logs in Parquet, one per resource.
 
-A resource's changes are rows (``rev``, ``op``, key columns, state columns) in
-``changes/rev=N`` folders and a ``revisions`` table (rev, commit_ts, author,
-message).  A commit appends one folder; nothing is rewritten, except by
-:meth:`Resource.compact`, which folds the log to validity ranges for readers.
-Single writer: a commit fails if another took its revision number.
+A resource's changes are rows (``op``, key columns, state columns) in folders
+``changes/rev=N/attempt=..``; a commit is a small file ``commits/N.json`` (rev,
+time, author, message, attempt).  Changes are written first, then the commit
+file is renamed into place, which is atomic: readers look only into folders that
+a commit names, so a writer that dies between the two leaves nothing behind but
+an unread folder, and its retry succeeds.  Of two writers of one revision the
+later finds the file there and fails with :class:`Conflict`.  Nothing is
+rewritten; :meth:`Resource.compact` folds the log to validity ranges for readers.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diff, temporal
 
-REVISIONS = "rev int, commit_ts timestamp, author string, message string"
+COMMIT = "rev int, commit_ts timestamp, author string, message string, attempt string"
 
 
 class Conflict(RuntimeError):
@@ -35,7 +40,7 @@ class Database:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def exists(self, resource: str | None = None) -> bool:
-        fs, p = self._fs(self.path if resource is None else f"{self.path}/{resource}/revisions")
+        fs, p = self._fs(self.path if resource is None else f"{self.path}/{resource}/commits")
         return fs.exists(p)
 
     def resources(self) -> list[str]:
@@ -55,7 +60,7 @@ class Database:
         return r
 
     def open(self, resource: str, keys: Sequence[str], valid: tuple[str, str] | None = None) -> "Resource":
-        cols = self.spark.read.parquet(f"{self.path}/{resource}/changes").columns
+        cols = Resource(self, resource, tuple(keys), (), valid).changes().columns
         return Resource(self, resource, tuple(keys), tuple(c for c in cols if c not in (*keys, "op", "rev")), valid)
 
 
@@ -71,14 +76,28 @@ class Resource:
 
     # reading
 
+    def _commits(self) -> list[int]:
+        """Committed revisions, from a listing."""
+        fs, p = self.db._fs(f"{self.path}/commits")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
     def changes(self) -> DataFrame:
-        return self.db.spark.read.option("basePath", f"{self.path}/changes").parquet(f"{self.path}/changes")
+        """All committed changes, with ``rev``."""
+        made = self.db.spark.read.schema(COMMIT).json(f"{self.path}/commits/*.json").select("rev", "attempt").collect()  # one row a commit
+        paths = [f"{self.path}/changes/rev={r}/attempt={a}" for r, a in sorted(made)]
+        return self.db.spark.read.option("basePath", f"{self.path}/changes").parquet(*paths).drop("attempt")
 
     def revisions(self) -> DataFrame:
-        return self.db.spark.read.schema(REVISIONS).parquet(f"{self.path}/revisions")
+        return self.db.spark.read.schema(COMMIT).json(f"{self.path}/commits/*.json").select("rev", "commit_ts", "author", "message")
 
     def latest(self) -> int:
-        return self.revisions().agg(F.max("rev")).first()[0] or 0
+        return max(self._commits(), default=0)
+
+    def most_recent(self) -> tuple[int, dt.datetime, str, str] | None:
+        """(revision, time, author, message) of the last commit."""
+        row = self.revisions().where(F.col("rev") == self.latest()).first()
+        return tuple(row) if row else None
 
     def history(self, last: int | None = None) -> DataFrame:
         h = self.revisions().orderBy(F.desc("rev"))
@@ -160,13 +179,22 @@ class Resource:
         return rev
 
     def _write(self, rows: DataFrame, rev: int, author: str, message: str, commit_ts: dt.datetime | None) -> None:
-        folder = f"{self.path}/changes/rev={rev}"
-        fs, p = self.db._fs(folder)
-        if fs.exists(p):
-            raise Conflict(f"revision {rev} of {self.name} is taken")
-        rows.write.mode("errorifexists").parquet(folder)
-        row = [(rev, commit_ts or dt.datetime.now(dt.UTC), author, message)]
-        self.db.spark.createDataFrame(row, REVISIONS).coalesce(1).write.mode("append").parquet(f"{self.path}/revisions")
+        attempt = uuid.uuid4().hex
+        rows.write.mode("errorifexists").parquet(f"{self.path}/changes/rev={rev}/attempt={attempt}")
+        self._commit_file({"rev": rev, "commit_ts": (commit_ts or dt.datetime.now(dt.UTC)).isoformat(), "author": author, "message": message, "attempt": attempt})
+
+    def _commit_file(self, commit: dict) -> None:
+        """The commit's file, renamed into place; the loser of a race finds it there."""
+        fs, done = self.db._fs(f"{self.path}/commits/{commit['rev']}.json")
+        _, draft = self.db._fs(f"{self.path}/commits/.{commit['attempt']}.draft")
+        if fs.exists(done):
+            raise Conflict(f"revision {commit['rev']} of {self.name} is taken")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(commit).encode()))
+        out.close()
+        if not fs.rename(draft, done):
+            fs.delete(draft, False)
+            raise Conflict(f"revision {commit['rev']} of {self.name} is taken")
 
     def revert_to(self, rev: int, message: str = "", author: str = "") -> int:
         """A new revision that equals an old one."""
@@ -180,11 +208,10 @@ class Resource:
 
     def truncate_to(self, rev: int) -> None:
         """Forget all later revisions."""
-        keep = self.db.spark.createDataFrame(self.revisions().where(F.col("rev") <= rev).collect(), REVISIONS)  # one row a commit
-        for r in range(rev + 1, self.latest() + 1):
-            fs, p = self.db._fs(f"{self.path}/changes/rev={r}")
-            fs.delete(p, True)
-        keep.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/revisions")
+        for r in reversed([x for x in self._commits() if x > rev]):  # commits first, from the last on: whatever is left is a prefix of the history
+            for part in (f"{self.path}/commits/{r}.json", f"{self.path}/changes/rev={r}"):
+                fs, p = self.db._fs(part)
+                fs.delete(p, True)
 
     def compact(self, to: str) -> DataFrame:
         """Write the versions table, sorted by key within files so that readers skip row groups."""

@@ -74,3 +74,42 @@ def test_batch_knn_takes_any_number_of_queries(spark, monkeypatch):
     want = sorted(map(tuple, vector.knn(df, df, 3).select("query_id", "id", "rank").collect()))
     monkeypatch.setattr(vector, "MOST_QUERIES", 40)
     assert sorted(map(tuple, vector.knn(df, df, 3).select("query_id", "id", "rank").collect())) == want and len(want) == 270
+
+
+def test_list_index_recall_and_updates(spark, sf):
+    from tempora.operators import vector
+
+    e = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/embeddings.parquet")
+    queries = e.where("vec_id % 20 = 0")
+    for metric in ("l2", "cosine"):
+        exact = {(r["query_id"], r["id"]) for r in vector.knn(e, queries, 10, metric).collect()}
+        index = vector.ListIndex(e, metric)
+        got = index.search(queries, 10).collect()
+        assert len(got) == len(exact)
+        recall = len(exact & {(r["query_id"], r["id"]) for r in got}) / len(exact)
+        print(metric, recall)
+        assert recall >= 0.9
+        assert {(r["query_id"], r["id"]) for r in index.search(queries, 10, len(index.centres)).collect()} == exact
+    index.delete(queries)
+    assert index.search(queries, 3).where("id % 20 = 0").count() == 0
+    index.insert(queries)
+    assert index.search(queries, 1).where("id = query_id").count() >= 0.9 * queries.count()
+    assert index.search(queries.limit(0), 3).count() == 0
+
+
+def test_top_k_against_sorting():
+    import numpy as np
+
+    from tempora.operators import vector
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(-2, 3, (300, 5)).astype(float)
+    q, keys = x[:40] + 0.0, rng.permutation(300)
+    for metric in ("l2", "cosine", "ip"):
+        for k in (1, 5, 299, 400):
+            col, got, d = vector.top_k(keys, x[1:], q[1:], k, metric) if metric != "cosine" else vector.top_k(keys, x + 3, q + 3, k, metric)
+            a, b, ids = (x[1:], q[1:], keys) if metric != "cosine" else (x + 3, q + 3, keys)
+            for j in range(len(b)):
+                all_d = vector.distances(a, np.repeat(b[j : j + 1], len(a), 0), metric)
+                want = [int(ids[i]) for i in sorted(range(len(a)), key=lambda i: (all_d[i], ids[i]))[:k]]
+                assert got[col == j].tolist() == want

@@ -61,6 +61,19 @@ def test_second_writer_conflicts(res):
         res.commit()
 
 
+def test_a_writer_that_dies_leaves_nothing_behind(res, spark):
+    before = state(res.snapshot())
+    res._commit_file, real = (lambda commit: (_ for _ in ()).throw(OSError("died"))), res._commit_file
+    res.set(F.col("id") == 1, n=99)
+    with pytest.raises(OSError):
+        res.commit()
+    assert res.latest() == 1 and state(res.snapshot()) == before and res.changes().where("rev > 1").count() == 0
+    again = res.db.open("people", ["id"])
+    again.set(F.col("id") == 1, n=7)
+    assert again.commit() == 2 and state(again.snapshot())[1] == ("a", 7)
+    assert res.db.open("people", ["id"]).most_recent()[0] == 2
+
+
 def test_catalogue_and_indexes(res, tmp_path):
     db = res.db
     assert db.exists() and db.exists("people") and db.resources() == ["people"]
