@@ -10,13 +10,14 @@ characters.
 Pass 2 judges candidates.  An encoding is inferred from the characters (hex,
 base32, base36, base62, base64).  Chi-squared uniformity over that alphabet, a
 runs test about the alphabet's median and lag-1 serial correlation ask whether
-the token can be uniformly random; Bonferroni joins the three.  Against
-ordinary text the token's p-value is ``exp(-LLR)``, where LLR is the
-log-likelihood of the uniform model over that of the corpus's own character
-pairs: a valid bound at every length, so short tokens need to be more extreme.
-Benjamini-Hochberg over all candidates, runs and parts alike (from a histogram of
-p-values), sets the cut at ``q``; of candidates that overlap, the least
-p-value's is given.
+the token can be uniformly random; Bonferroni joins the three to one p-value u.
+Let LLR be the log-likelihood of the uniform law over that of the corpus's own
+character pairs.  Under ordinary text exp(LLR) has mean 1 at most at every
+length, and so has u exp(LLR), since u is 1 at most: an e-value that all three
+tests enter, small for what isn't random and for what is short.  Its inverse is
+a p-value; Benjamini-Hochberg over those of all candidates, runs and parts alike
+(from a histogram), sets the cut at ``q``, which for e-values holds whatever their
+dependence.  Of candidates that overlap, the least p-value's is given.
 
 Defined results: null and empty texts have no spans; rows are independent, so
 repeated rows repeat their spans; other columns are ignored; an empty table
@@ -42,7 +43,8 @@ from .common import materialize, slices
 KINDS = ("assign", "access", "hex", "random")
 MIN_TOKEN = 20
 Q = 1e-3
-ALPHA = 1e-4
+#: Least p-value of the battery that is told from 0.
+TINY = 1e-300
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KEYWORDS = ("passw", "secret", "token", "api")
@@ -167,10 +169,14 @@ def text_model(pairs: np.ndarray) -> np.ndarray:
     return np.log((c + CLASSES * single) / (c.sum(1, keepdims=True) + CLASSES))
 
 
-def p_text(token: str, uniform: float, model: np.ndarray) -> float:
-    """log of a bound on the chance that ordinary text yields a token at least as random-looking."""
+def log_p_value(token: str, model: np.ndarray) -> float:
+    """log of a bound on the chance that ordinary text yields a token so random-looking by likelihood and battery; 0 if no encoding fits."""
+    if (x := battery(token)) is None:
+        return 0.0
+    u, uniform = x
     c = _CLASS[np.frombuffer(token.rstrip("=").encode(), np.uint8)]
-    return min(0.0, model[c[:-1], c[1:]].sum() - math.log(CLASSES) - uniform)
+    text = model[c[:-1], c[1:]].sum() - math.log(CLASSES)
+    return min(0.0, text - uniform - math.log(max(u, TINY)))
 
 
 def _scan(id_field: pa.Field):
@@ -227,11 +233,7 @@ def _judge(model: np.ndarray):
             for row, spans in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = []
                 for r in row or ():
-                    x = battery(r["token"])
-                    if x and x[0] >= ALPHA:
-                        got.append({"start": r["start"], "end": r["start"] + len(r["token"]), "log_p": p_text(r["token"], x[1], model)})
-                    else:
-                        got.append({"start": r["start"], "end": r["start"] + len(r["token"]), "log_p": 0.0})
+                    got.append({"start": r["start"], "end": r["start"] + len(r["token"]), "log_p": log_p_value(r["token"], model)})
                 best_of(got, [(s["start"], s["end"]) for s in spans or ()])
                 out.append(got)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], names=["id", "spans", "tested"])
