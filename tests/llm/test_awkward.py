@@ -214,6 +214,26 @@ def test_secret_battery(docs_of):
     assert all(r[100 + i] == "" for i in range(30))
 
 
+def test_every_test_of_the_battery_counts():
+    """The p-value by its definition, and tokens that fail one test each."""
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    flat = np.full(secret_scan.CLASSES**2, 1000)
+    model = secret_scan.text_model(flat)
+    good = "".join(rng.choice("0123456789abcdef") for _ in range(60))
+    u, uniform = secret_scan.battery(good)
+    text = 59 * math.log(1 / 64) - math.log(64)
+    assert secret_scan.log_p_value(good, model) == pytest.approx(min(0, text - uniform - math.log(u)), rel=1e-3)
+    digits = "0123456789abcdef"
+    for bad in ("0123456789abcdef" * 4, "08192a3b4c5d6e7f" * 4, "a" * 40 + "b1", "".join(rng.choice("01234567") for _ in range(56)) + "f"):
+        assert secret_scan.battery(bad)[0] < 1e-6 and secret_scan.log_p_value(bad, model) > secret_scan.log_p_value(good, model) * len(bad) / 60
+    assert secret_scan.log_p_value("no encoding has a space", model) == 0.0 and set(good) <= set(digits)
+
+
 def test_secrets_behind_names_and_paths(docs_of):
     import random
 
