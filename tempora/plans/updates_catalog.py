@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import matching
 from ..operators import updates as U
-from ..sources import indexes, shared, shred
+from ..sources import indexes, shared, shred, store, trees
 
 c = F.col
 
@@ -239,3 +240,54 @@ def register(query) -> None:
         i = indexes.Indexes(t.spark, shared.new_path(t.spark, "indexes"))
         i.create_projection(t.nation, ["n_nationkey", "n_name"])
         return i.scan_projection(i.find_projection(["n_name"])).select("n_nationkey", "n_name")
+
+    # --- stored documents and their differences --------------------------------------------------
+
+    def stored(t, kind: str):
+        """(collection of two revisions): the nations' documents, then edited."""
+        text = F.concat(F.lit('{"k":'), c("n_nationkey"), F.lit(',"a":[1,"b",null],"o":{"z":true}}')) if kind == "json" else F.concat(F.lit('<r><a x="'), c("n_nationkey"), F.lit('">'), c("n_name"), F.lit("</a><b/></r>"))
+        db = store.Database(t.spark, shared.new_path(t.spark, "store"))
+        col = trees.Collection.store(db, "nations", t.nation.select(c("n_nationkey").alias("doc"), text.alias("text")), kind, author="ann")
+        n = col.nodes()
+        if kind == "json":
+            n = U.remove(shared.written(U.set_value(n, _at(n, "$.k"), -1), "nodes"), _at(n, "$.o"))
+        else:
+            n = U.insert(n, _at(n, "/r/b"), U.xml_leaf("text", value="new"), "first", False)
+        col.commit(n, "edited", "bob")
+        return col
+
+    both = "SELECT n_nationkey AS doc, 1 AS rev, {} AS text FROM nation UNION ALL SELECT n_nationkey, 2, {} FROM nation"
+
+    @query(both.format("'{\"k\":' || n_nationkey || ',\"a\":[1,\"b\",null],\"o\":{\"z\":true}}'", "'{\"k\":-1,\"a\":[1,\"b\",null]}'"))
+    def json_store(t):
+        col = stored(t, "json")
+        return reduce(DataFrame.union, [col.texts(r).select("doc", F.lit(r).alias("rev"), c("json").alias("text")) for r in (1, 2)])
+
+    @query(both.format("'<r><a x=\"' || n_nationkey || '\">' || n_name || '</a><b/></r>'", "'<r><a x=\"' || n_nationkey || '\">' || n_name || '</a><b>new</b></r>'"))
+    def xml_store(t):
+        col = stored(t, "xml")
+        return reduce(DataFrame.union, [col.texts(r).select("doc", F.lit(r).alias("rev"), c("xml").alias("text")) for r in (1, 2)])
+
+    @query("""SELECT n_nationkey AS doc, op, path, CASE path WHEN '$.k' THEN n_nationkey || '' WHEN '$.o.z' THEN 'true' END AS old_value, CASE path WHEN '$.k' THEN '-1' END AS new_value
+    FROM nation, (VALUES ('updated', '$.k'), ('deleted', '$.o'), ('deleted', '$.o.z')) v(op, path)""")
+    def json_tree_diff(t):
+        return stored(t, "json").diff(1, 2).select("doc", "op", "path", "old_value", "new_value")
+
+    @query("SELECT n_nationkey AS doc, 'deleted' AS op, '$.o' AS path FROM nation")
+    def tree_diff_below(t):
+        """Below the object's node alone, and no level further."""
+        return stored(t, "json").diff(1, 2, start=6, depth=0).select("doc", "op", "path")
+
+    @query("SELECT n_nationkey AS doc, 'inserted' AS op, '/r/b/text()' AS path, NULL AS old_value, 'new' AS new_value FROM nation")
+    def xml_tree_diff(t):
+        return stored(t, "xml").diff(1, 2).select("doc", "op", "path", "old_value", "new_value")
+
+    @query("""SELECT n_nationkey AS doc, op, path, CASE path WHEN '$.k' THEN n_nationkey || '' WHEN '$.t[]' THEN 'some words' WHEN '$.q.o' THEN '$.o' END AS old_value,
+    CASE path WHEN '$.k' THEN 'x' || n_nationkey WHEN '$.t[]' THEN 'some wards' WHEN '$.w' THEN '1' WHEN '$.q.o' THEN '$.q.o' END AS new_value
+    FROM nation, (VALUES ('delete', '$.k'), ('insert', '$.k'), ('update', '$.t[]'), ('insert', '$.w'), ('insert', '$.q'), ('move', '$.q.o')) v(op, path)""".replace("WHEN '$.k' THEN n_nationkey || '' WHEN", "WHEN '$.k' THEN CASE op WHEN 'delete' THEN n_nationkey || '' END WHEN").replace("WHEN '$.k' THEN 'x' || n_nationkey", "WHEN '$.k' THEN CASE op WHEN 'insert' THEN 'x' || n_nationkey END"))
+    def tree_edit_script(t):
+        """Versions without common keys: a member of another kind, a changed item, a new member and an object that moved into a new one."""
+        old = F.concat(F.lit('{"k":'), c("n_nationkey"), F.lit(',"t":["same","some words"],"o":{"z":[true,2]}}'))
+        new = F.concat(F.lit('{"k":"x'), c("n_nationkey"), F.lit('","t":["same","some wards"],"w":1,"q":{"o":{"z":[true,2]}}}'))
+        a, b = (shared.written(shred.shred(t.nation.select("n_nationkey", x.alias("text")), "n_nationkey", "text", "json"), "nodes") for x in (old, new))
+        return matching.edit_script(a, b, 4, lambda df: shared.written(df, "match"))
