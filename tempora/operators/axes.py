@@ -60,12 +60,39 @@ def preceding(context: DataFrame, nodes: DataFrame) -> DataFrame:
     return _pairs(context, nodes, (F.col("pre") < F.col("c_pre")) & (F.col("post") < F.col("c_post")))
 
 
+def _siblings(context: DataFrame, nodes: DataFrame, on: Column) -> DataFrame:
+    """Joined by document and parent, so that a large document is many keys; roots have no siblings."""
+    c = context.select("doc", "parent_key", F.col("node_key").alias("from_key"), F.col("pos").alias("c_pos")).where("parent_key IS NOT NULL")
+    return c.join(nodes.where("kind NOT IN ('attribute', 'namespace')"), ["doc", "parent_key"]).where(on).drop("c_pos")
+
+
 def following_sibling(context: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _pairs(context, nodes, F.col("parent_key").eqNullSafe(F.col("c_parent_key")) & (F.col("pos") > F.col("c_pos")))
+    return _siblings(context, nodes, F.col("pos") > F.col("c_pos"))
 
 
 def preceding_sibling(context: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _pairs(context, nodes, F.col("parent_key").eqNullSafe(F.col("c_parent_key")) & (F.col("pos") < F.col("c_pos")))
+    return _siblings(context, nodes, F.col("pos") < F.col("c_pos"))
+
+
+def non_structural(axis: DataFrame, nodes: DataFrame) -> DataFrame:
+    """An axis' nodes and, after each, its attributes and namespaces."""
+    extra = nodes.where("kind IN ('attribute', 'namespace')").withColumn("_up", F.col("parent_key"))
+    hit = axis.select("doc", "from_key", F.col("node_key").alias("_up"))
+    return axis.unionByName(hit.join(extra, ["doc", "_up"]).drop("_up"))
+
+
+def pruned(context: DataFrame, nodes: DataFrame, stop: Column) -> DataFrame:
+    """Descendants, without what lies below a node that ``stop`` holds for (a visitor that skips subtrees)."""
+    inside = descendant(context, nodes)
+    walls = inside.where(stop).select("doc", "from_key", F.col("pre").alias("w_pre"), F.col("post").alias("w_post"))
+    hidden = inside.join(walls, ["doc", "from_key"]).where("pre > w_pre AND post < w_post").select("doc", "from_key", "node_key").distinct()
+    return inside.join(hidden, ["doc", "from_key", "node_key"], "left_anti")
+
+
+def kind_count(nodes: DataFrame, kind: str) -> DataFrame:
+    """Each element's attributes or namespaces, counted."""
+    n = nodes.where(F.col("kind") == kind).groupBy("doc", F.col("parent_key").alias("node_key")).agg(F.count("*").alias("n"))
+    return nodes.where("kind = 'element'").join(n, KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def level_order(nodes: DataFrame, max_level: int | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: A side is broadcast by hand only below this size, as Catalyst estimates it; else the planner and AQE choose.
 BROADCAST_BYTES = 32 << 20
 
@@ -75,7 +77,7 @@ def ranked(df: DataFrame, by: Sequence[Column], name: str = "ord", within: Seque
 
 def numbered(df: DataFrame, by: Sequence[str], name: str = "ord") -> DataFrame:
     """A total order's ranks without one task seeing all rows: range partitions, their sizes, and a rank in each."""
-    parts = df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()).persist()
+    parts = written(df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()), "ranges")  # read twice: for the sizes and for the rows
     sizes = parts.groupBy("_p").count().orderBy("_p").collect()  # one row a partition
     start, rows = 0, []
     for p, n in sizes:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import matching
+from ..operators import axes, matching
 from ..operators import updates as U
 from ..sources import indexes, shared, shred, store, trees
 
@@ -291,3 +291,52 @@ def register(query) -> None:
         new = F.concat(F.lit('{"k":"x'), c("n_nationkey"), F.lit('","t":["same","some wards"],"w":1,"q":{"o":{"z":[true,2]}}}'))
         a, b = (shared.written(shred.shred(t.nation.select("n_nationkey", x.alias("text")), "n_nationkey", "text", "json"), "nodes") for x in (old, new))
         return matching.edit_script(a, b, 4, lambda df: shared.written(df, "match"))
+
+    # --- the store's life, markup's counts and further axes --------------------------------------
+
+    @query("""SELECT * FROM (VALUES ('no database', 0), ('database', 1), ('resource', 1), ('revisions', 4), ('latest', 4), ('rolled back', 1), ('before hooks', 2), ('after hooks', 2), ('rows at 1', 25), ('rows at 2', 20), ('rows at 3', 21), ('reverted', 25),
+    ('renamed', 1), ('author', 1), ('history of a key', 3), ('truncated', 2), ('dropped resource', 1), ('dropped database', 1)) v(what, n)""")
+    def store_lifecycle(t):
+        """Create, stage, roll back, commit with hooks, revert, truncate, drop: what each leaves, counted."""
+        spark = t.spark
+        db = store.Database(spark, shared.new_path(spark, "store"))
+        out = [("no database", int(db.exists()))]
+        r = db.create("nations", t.nation.select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"], "ann", "first")
+        out += [("database", int(db.exists())), ("resource", int(db.exists("nations")))]
+        seen = {"before": 0, "after": 0}
+        r.pre_commit.append(lambda _: seen.__setitem__("before", seen["before"] + 1))
+        r.post_commit.append(lambda _, rev: seen.__setitem__("after", seen["after"] + 1))
+        r.delete(c("n_regionkey") == 1)
+        r.rollback()
+        out += [("rolled back", r.commit())]
+        r.delete(c("n_regionkey") == 0)
+        r.commit("less", "bob")
+        r.insert(t.nation.where("n_nationkey = 0").select("n_nationkey", "n_name", "n_regionkey")).set(c("n_nationkey") == 24, n_name="RENAMED")
+        r.commit("more", "cid")
+        r.revert_to(1, "back", "ann")
+        key = t.nation.where("n_regionkey = 0").agg(F.min("n_nationkey")).first()[0]
+        out += [
+            ("revisions", r.revisions().count()), ("latest", r.latest()), ("before hooks", seen["before"]), ("after hooks", seen["after"]), ("rows at 1", r.snapshot(1).count()), ("rows at 2", r.snapshot(2).count()), ("rows at 3", r.snapshot(3).count()),
+            ("reverted", r.snapshot().count()), ("renamed", r.snapshot(3).where("n_name = 'RENAMED'").count()), ("author", int(r.most_recent()[2] == "ann")), ("history of a key", r.changes().where(c("n_nationkey") == key).count()),
+        ]
+        r.truncate_to(2)
+        out += [("truncated", r.latest()), ("dropped resource", int(db.drop("nations") and not db.exists("nations"))), ("dropped database", int(db.drop() and not db.exists()))]
+        return spark.createDataFrame(out, "what string, n int")
+
+    @query("SELECT n_nationkey AS doc, name, CASE name WHEN 'a' THEN 1 ELSE 0 END AS attributes, 0 AS namespaces FROM nation, (VALUES ('r'), ('a'), ('b')) v(name)")
+    def xml_counts(t):
+        n = _xml_docs(t)
+        a = axes.kind_count(n, "attribute").select("doc", "node_key", "name", c("n").alias("attributes"))
+        return a.join(axes.kind_count(n, "namespace").select("doc", "node_key", c("n").alias("namespaces")), ["doc", "node_key"]).select("doc", "name", "attributes", "namespaces")
+
+    @query("""SELECT axis, n_nationkey AS doc, of, name FROM nation, (VALUES ('self', 'a', 'a'), ('attribute', 'a', 'x'), ('wrapped', 'r', 'a'), ('wrapped', 'r', 'x'), ('wrapped', 'r', 'b'), ('pruned', 'r', 'a'), ('pruned', 'r', 'b'),
+    ('following', 'a', 'b'), ('preceding', 'b', 'a')) v(axis, of, name)""")
+    def xml_axes(t):
+        n = _xml_docs(t)
+        one = lambda x: n.where(c("name") == x)
+        found = {
+            "self": axes.self_(one("a")), "attribute": axes.attribute(one("a"), n), "wrapped": axes.non_structural(axes.child(one("r"), n), n), "pruned": axes.pruned(one("r"), n.where("kind <> 'attribute'"), c("name") == "a"),
+            "following": axes.following_sibling(one("a"), n), "preceding": axes.preceding_sibling(one("b"), n),
+        }
+        names = n.select("doc", c("node_key").alias("from_key"), c("name").alias("of"))
+        return reduce(DataFrame.union, [d.select(F.lit(k).alias("axis"), "doc", "from_key", "name") for k, d in found.items()]).join(names, ["doc", "from_key"]).select("axis", "doc", "of", "name")
