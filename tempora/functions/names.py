@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .semantics import encode_for_uri as encode_for_uri
+
 #: Fixed value: the namespace that ``xml`` stands for in every scope.
 XML_NAMESPACE = "http://www.w3.org/XML/1998/namespace"
 
@@ -56,11 +58,6 @@ def escape_except(s: Column, kept: str) -> Column:
     return F.array_join(F.transform(characters, lambda c: F.when(c.rlike(f"^[{kept}]$"), c).otherwise(escaped(c))), "")
 
 
-def encode_for_uri(s: Column) -> Column:
-    """All but letters, digits, ``-``, ``_``, ``.`` and ``~``."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.url_encode(s), "\\+", "%20"), "%7E", "~"), "\\*", "%2A")
-
-
 def iri_to_uri(s: Column) -> Column:
     """What a URI can't hold: all but printable ASCII without ``<>"{}|\\^`` and the grave accent."""
     return escape_except(s, "!#-;=?-\\[\\]_a-z~")
