@@ -3,6 +3,13 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 last return the columns of ``documents``.  Side tables (``labels``,
 ``benchmark``) come from ``sf_dir``.
+
+Defined results, as of the stages' operators: null and empty texts go no further
+than a stage that rejects or empties them, and are packed as the closing id alone
+otherwise; texts may be of any length; rows equal in id and text are one document
+from the join of near copies on; of ties the least id stays; further columns pass
+through to the last stage, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -48,3 +48,18 @@ def test_leak_stage(tables, spark, sf):
 def test_packing_stage(tables, spark, sf):
     assert {r["doc_id"] for r in tables[5].collect()} == set(texts(tables[4]))
     assert P.run(spark, sf).columns == tables[5].columns
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_awkward_and_empty_tables(spark, docs_of, awkward, tmp_path, empty):
+    """Nulls, empties, one huge text, repeated rows, null ids and clashing columns go through all stages; so does nothing at all."""
+    d = docs_of(awkward)
+    at = str(tmp_path / "sf")
+    (d.limit(0) if empty else d).write.parquet(f"{at}/documents.parquet")
+    labels = spark.createDataFrame([(4, 1, 0), (6, 1, 0), (8, 1, 0), (10, 1, 0)], "doc_id long, quality int, toxic int")
+    (labels.limit(0) if empty else labels).write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    got = P.run(spark, at)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    ids = {r["doc_id"] for r in got.collect()}
+    assert ids == set() if empty else {4, 5, 7, 8, 9, 10} <= ids and 6 not in ids
