@@ -337,6 +337,52 @@ def test_blocks_survive_three_changes_of_five():
             assert set(k[: off[1]].tolist()) & set(k[off[1] :].tolist())
 
 
+@pytest.mark.parametrize("n", [20, 23, 24, 25, 40, 99, 250])
+def test_similar_lines_share_a_block_wherever_the_edits_are(n):
+    """Edits on a line's rarest words first, or on every fifth word: as many as the threshold allows, of every kind."""
+    import random
+
+    import numpy as np
+
+    rng, level = random.Random(n), np.full(line_dedup.SLOTS, 20, np.uint8)
+    level[rng.sample(range(line_dedup.SLOTS), 1 << 19)] = 90
+    rare = lambda w: (level[w & (line_dedup.SLOTS - 1)], int(line_dedup.mix(np.array([w], np.uint64))[0]))
+    for turn in range(60):
+        a = [rng.getrandbits(64) for _ in range(n)]
+        b, edits = list(a), 0
+        for at, w in enumerate(sorted(a, key=rare) if turn % 2 else a[::5]):
+            c, place, kind = list(b), b.index(w), turn // 2 % 4 if turn < 40 else rng.randrange(3)
+            if kind == 1:
+                c.insert(place, rng.getrandbits(64))
+            elif kind == 2:
+                del c[place]
+            else:
+                c[place] = rng.getrandbits(64)
+            if at + 1 > int(0.2 * max(len(c), n) + 1e-9):
+                break
+            b, edits = c, at + 1
+        assert edits >= n // 5 - 1 and line_dedup.similarity_at_least(a, b, 0.8)
+        k, off = line_dedup.pair_blocks(np.array(a + b, np.uint64), np.array([n, len(b)]), level)
+        assert set(k[: off[1]].tolist()) & set(k[off[1] :].tolist()), (turn, edits)
+
+
+def test_long_lines_whose_rarest_words_all_differ(docs_of):
+    """Each line's rarest words are changed in its copy; common words are all that is left."""
+    common = [f"w{i}" for i in range(60)]
+    rows = [(1000 + i, " ".join(common[i:] + common[:i])) for i in range(0, 60, 15)]
+    for i in range(40):
+        n, k = 20 + i, (20 + i) // 5
+        words = [common[(7 * i + 13 * j) % 60] for j in range(n)]
+        for copy in range(2):
+            w = list(words)
+            for j in range(k):
+                w[j * 5] = f"r{i}x{j}y{copy}"  # once in this line, again in the two lines below
+            rows += [(10 * i + copy, " ".join(w)), (10 * i + 2 + copy, " ".join(x for x in w if x[0] == "r"))]
+    want = line_dedup.brute_force(dict(rows))
+    got = {(r["id"], r["line"]) for r in line_dedup.duplicates(docs_of(rows)).collect()}
+    assert got == want and len(want) >= 40
+
+
 def test_simhash_against_loops():
     import numpy as np
 
