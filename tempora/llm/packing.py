@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _ranges, materialize, slices
+from .common import _ranges, keep_only, kept, materialize, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -139,6 +139,9 @@ class WordCache:
         return out, offsets
 
 
+kept["tokens"] = WordCache._by_crc
+
+
 def _pieces(spec: str, capacity: int, end_id: int, id_type: pa.DataType):
     schema = pa.schema([("id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local", pa.int64())])
 
@@ -146,6 +149,7 @@ def _pieces(spec: str, capacity: int, end_id: int, id_type: pa.DataType):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        keep_only("tokens")
         cache = WordCache.of(spec)
         seen: Counter = Counter()
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices
+from .common import Words, keep_only, mix, slices
 
 TERMS = 1024
 SAMPLE_ROWS = 4096
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, train: DataFrame, sample_rows: int = SAMPLE_ROWS, id_co
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
+        keep_only("powers")
         for batch in batches:
             for b in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in terms(b.column(2))], pa.binary())], names=["_id", "_label", "x"])
@@ -191,6 +192,7 @@ def score(docs: DataFrame, model: Model, out_col: str = "score", text_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches):
+        keep_only("powers")
         m = shared.value
         for batch in batches:
             for b in slices(batch, text_col):

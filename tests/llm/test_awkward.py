@@ -450,6 +450,20 @@ def test_levenshtein_threshold():
         assert line_dedup.similarity_at_least(a, b, 0.6) == want
 
 
+def test_workers_let_go_of_what_other_operators_kept():
+    from types import SimpleNamespace as S
+
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+    docs = S(schema=schema, columns=["doc_id", "text"], sparkSession=S(sparkContext=S(broadcast=lambda m: S(value=m))), mapInArrow=lambda run, _: run)
+    spec = packing.tokenizer_json()
+    for run in (quality_knn.score(docs, None), line_dedup._lines(5, pa.int64())):
+        packing.WordCache.of(spec)
+        assert list(run(iter([]))) == [] and not packing.WordCache._by_crc
+
+
 def test_decontaminate(spark, docs_of, awkward, none):
     q = "A train leaves Boston at 60 miles per hour and reaches Chicago after 14 hours , how far did it travel in total"
     b = spark.createDataFrame([(1, q), (2, None), (3, ""), (4, "too short"), (1, q)], "item_id long, text string").withColumn("doc_id", F.lit(1))
