@@ -684,3 +684,21 @@ def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
     assert structs == {k: {0: 0, 100: 105, 300: 301}[v] for k, v in got.items()}
     texts = {r["node"]: r["comp"] for r in connected_components(rows.select(F.col("a").cast("string"), F.col("b").cast("string"))).collect()}
     assert texts == {str(k): str(v) for k, v in got.items()}
+
+
+def test_line_families_cost_their_number(monkeypatch):
+    """Near copies are linked by about as many comparisons as they are, and what is of one group isn't compared again."""
+    import numpy as np
+    import pyarrow as pa
+
+    m, words = 150, [[f"w{j}" if j != i % 40 else f"new{i}" for j in range(40)] for i in range(150)]
+    w = line_dedup.Words(pa.array([" ".join(x) for x in words]))
+    n = np.diff(w.offsets)
+    t = {"key": np.full(m, 7), "k1": np.arange(m), "k2": np.arange(m), "n": n.astype(np.int32), "sim": line_dedup.simhash(w.hash, n).view(np.int64), "words": [" ".join(x) for x in words]}
+    t |= {k: x.view(np.int64) for k, x in zip(line_dedup.LANES, line_dedup.word_sets(w.hash, n), strict=True)}
+    calls, real = [], line_dedup.similarity_at_least
+    monkeypatch.setattr(line_dedup, "similarity_at_least", lambda *a: calls.append(1) or real(*a))
+    first = pa.Table.from_batches(line_dedup._alike(0.8, ["key"], line_dedup.WINDOW)([pa.RecordBatch.from_pydict(t)]))
+    assert len(first) == m - 1 and len(calls) <= 2 * m
+    calls.clear()
+    assert not list(line_dedup._alike(0.8, ["key"])([pa.RecordBatch.from_pydict(t | {"group": np.zeros(m, np.int64)})])) and not calls
