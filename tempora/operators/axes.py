@@ -3,8 +3,9 @@
 A node table has ``doc``, ``node_key``, ``parent_key``, ``kind``, ``name``,
 ``path``, ``level``, ``pos`` (place among siblings), ``pre`` and ``post`` (orders
 of the traversal) and typed values.  With pre and post numbers, ancestors and
-descendants are ranges; all joins are by document first, so they are equi-joins
-with a residual range and never cross documents.
+descendants are ranges; all joins are by document first, so they never cross
+documents.  Joins on ranges go by buckets of the traversal, so a large document
+is many keys and its nodes meet few others that aren't in the result.
 """
 
 from __future__ import annotations
@@ -16,10 +17,34 @@ from pyspark.sql import functions as F
 KEY = ["doc", "node_key"]
 
 
-def _pairs(context: DataFrame, nodes: DataFrame, on: Column) -> DataFrame:
-    """Nodes ``n`` reached from context nodes ``c``, with the context's key as ``from_key``."""
-    c = context.select("doc", *[F.col(x).alias(f"c_{x}") for x in ("node_key", "parent_key", "pre", "post", "pos", "level")])
-    return c.join(nodes, "doc").where(on).withColumnRenamed("c_node_key", "from_key").drop("c_parent_key", "c_pre", "c_post", "c_pos", "c_level")
+#: Places of the traversal in a bucket of a join on ranges.
+WIDTH = 64
+
+
+def _meet(ranges: DataFrame, points: DataFrame, by: list[str], low: Column, high: Column, at: Column) -> DataFrame:
+    """Rows equal in ``by`` whose ``at`` lies in [low, high]: an equi-join on buckets of ``WIDTH`` places, each range in all it touches."""
+    bucket = lambda x: F.floor(x / WIDTH)
+    r = ranges.where(low <= high).withColumn("_b", F.explode(F.sequence(bucket(low), bucket(high))))
+    return r.join(points.withColumn("_b", bucket(at)), [*by, "_b"]).where(at.between(low, high)).drop("_b")
+
+
+def _ends(nodes: DataFrame) -> DataFrame:
+    """Of each document the ends of ``pre``, and the most that it is ahead of ``post``: of all nodes, pre <= post + _ahead."""
+    return nodes.groupBy("doc").agg(F.min("pre").alias("_first"), F.max("pre").alias("_last"), F.max(F.col("pre") - F.col("post")).alias("_ahead"))
+
+
+def _below(pre: str, post: str) -> Column:
+    """The end of the range that has the ``pre`` of a node and of all below it, as :func:`_ends` tells of the latter."""
+    return F.least(F.greatest(F.col(pre), F.col(post) + F.col("_ahead")), F.col("_last"))
+
+
+def _context(context: DataFrame) -> DataFrame:
+    return context.select("doc", F.col("node_key").alias("from_key"), F.col("pre").alias("c_pre"), F.col("post").alias("c_post"))
+
+
+def _reached(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes reached from context nodes, with the context's key as ``from_key``."""
+    return found.select("doc", "from_key", *[F.col(f"`{x}`") for x in nodes.columns if x != "doc"])
 
 
 def self_(context: DataFrame) -> DataFrame:
@@ -44,20 +69,24 @@ def parent(context: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def descendant(context: DataFrame, nodes: DataFrame, or_self: bool = False) -> DataFrame:
     inside = (F.col("pre") > F.col("c_pre")) & (F.col("post") < F.col("c_post"))
-    return _pairs(context, nodes, inside | (F.col("pre") == F.col("c_pre")) if or_self else inside)
+    found = _meet(_context(context).join(_ends(nodes), "doc"), nodes, ["doc"], F.col("c_pre"), _below("c_pre", "c_post"), F.col("pre"))
+    return _reached(found.where(inside | (F.col("pre") == F.col("c_pre")) if or_self else inside), nodes)
 
 
 def ancestor(context: DataFrame, nodes: DataFrame, or_self: bool = False) -> DataFrame:
     above = (F.col("pre") < F.col("c_pre")) & (F.col("post") > F.col("c_post"))
-    return _pairs(context, nodes, above | (F.col("pre") == F.col("c_pre")) if or_self else above)
+    found = _meet(nodes.join(_ends(context), "doc"), _context(context), ["doc"], F.col("pre"), _below("pre", "post"), F.col("c_pre"))
+    return _reached(found.where(above | (F.col("pre") == F.col("c_pre")) if or_self else above), nodes)
 
 
 def following(context: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _pairs(context, nodes, (F.col("pre") > F.col("c_pre")) & (F.col("post") > F.col("c_post")))
+    found = _meet(_context(context).join(_ends(nodes), "doc"), nodes, ["doc"], F.col("c_pre"), F.col("_last"), F.col("pre"))
+    return _reached(found.where((F.col("pre") > F.col("c_pre")) & (F.col("post") > F.col("c_post"))), nodes)
 
 
 def preceding(context: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _pairs(context, nodes, (F.col("pre") < F.col("c_pre")) & (F.col("post") < F.col("c_post")))
+    found = _meet(_context(context).join(_ends(nodes), "doc"), nodes, ["doc"], F.col("_first"), F.col("c_pre"), F.col("pre"))
+    return _reached(found.where((F.col("pre") < F.col("c_pre")) & (F.col("post") < F.col("c_post"))), nodes)
 
 
 def _siblings(context: DataFrame, nodes: DataFrame, on: Column) -> DataFrame:
@@ -84,8 +113,10 @@ def non_structural(axis: DataFrame, nodes: DataFrame) -> DataFrame:
 def pruned(context: DataFrame, nodes: DataFrame, stop: Column) -> DataFrame:
     """Descendants, without what lies below a node that ``stop`` holds for (a visitor that skips subtrees)."""
     inside = descendant(context, nodes)
-    walls = inside.where(stop).select("doc", "from_key", F.col("pre").alias("w_pre"), F.col("post").alias("w_post"))
-    hidden = inside.join(walls, ["doc", "from_key"]).where("pre > w_pre AND post < w_post").select("doc", "from_key", "node_key").distinct()
+    by = ["doc", "from_key"]
+    walls = inside.where(stop).select(*by, F.col("pre").alias("w_pre"), F.col("post").alias("w_post")).join(_ends(nodes), "doc")
+    hidden = _meet(walls, inside.select(*by, "node_key", "pre", "post"), by, F.col("w_pre"), _below("w_pre", "w_post"), F.col("pre"))
+    hidden = hidden.where("pre > w_pre AND post < w_post").select(*by, "node_key").distinct()
     return inside.join(hidden, ["doc", "from_key", "node_key"], "left_anti")
 
 

@@ -2,6 +2,7 @@ import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tempora.operators import axes
 from tempora.sources import shred
@@ -70,3 +71,71 @@ def test_merkle_sees_every_change(spark):
 
     assert root('{"a":[1,2]}') == root('{"a": [1, 2]}')
     assert len({root('{"a":[1,2]}'), root('{"a":[2,1]}'), root('{"b":[1,2]}'), root('{"a":[1,3]}')}) == 4
+
+
+def _random_tree(size, deep, seed, step=1):
+    """(doc, node_key, parent_key, kind, name, level, pos, pre, post) rows of two documents; ``step`` leaves gaps in the numbers."""
+    import random
+
+    rng, rows = random.Random(seed), []
+    for doc in (1, 2):
+        up = {0: None} | {i: rng.randrange(max(0, i - 3) if deep else 0, i) for i in range(1, size)}
+        kids = {i: [j for j in up if up[j] == i] for i in up}
+        pre, post, level, pos, todo = {}, {}, {0: 0}, {0: 0}, [(0, False)]
+        while todo:
+            i, done = todo.pop()
+            if done:
+                post[i] = len(post) * step
+                continue
+            pre[i] = len(pre) * step
+            todo.append((i, True))
+            for k, j in enumerate(kids[i]):
+                level[j], pos[j] = level[i] + 1, k
+            todo += [(j, False) for j in reversed(kids[i])]
+        rows += [(doc, i, up[i], "element", f"n{i}", level[i], pos[i], pre[i], post[i]) for i in up]
+    return rows
+
+
+NODES = "doc int, node_key long, parent_key long, kind string, name string, level int, pos int, pre long, post long"
+
+
+def test_axes_on_ranges_are_those_of_all_pairs(spark):
+    on = {
+        axes.descendant: lambda c, n: n[7] > c[7] and n[8] < c[8],
+        axes.ancestor: lambda c, n: n[7] < c[7] and n[8] > c[8],
+        axes.following: lambda c, n: n[7] > c[7] and n[8] > c[8],
+        axes.preceding: lambda c, n: n[7] < c[7] and n[8] < c[8],
+    }
+    for deep, step, some in ((False, 1, 1), (True, 1, 1), (True, 7, 3)):
+        rows = _random_tree(220, deep, 3, step)
+        context, nodes = [r for r in rows if r[1] % 5 == 0 and (r[0] == 1 or deep)], [r for r in rows if r[1] % some == 0]
+        c, n = spark.createDataFrame(context, NODES), spark.createDataFrame(nodes, NODES).drop("level")
+        for axis, test in on.items():
+            want = sorted((x[0], x[1], y[1]) for x in context for y in nodes if x[0] == y[0] and test(x, y))
+            got = axis(c, n)
+            assert got.columns == ["doc", "from_key", *n.columns[1:]]
+            assert sorted(map(tuple, got.select("doc", "from_key", "node_key").collect())) == want, (axis.__name__, deep, step)
+            if axis in (axes.descendant, axes.ancestor):
+                want = sorted(want + [(x[0], x[1], x[1]) for x in context if x in nodes])
+                assert sorted(map(tuple, axis(c, n, True).select("doc", "from_key", "node_key").collect())) == want
+        got = axes.pruned(c.where("node_key % 10 = 0"), n, F.col("name").endswith("3"))
+        walls = [r for r in nodes if r[4].endswith("3")]
+        below = on[axes.descendant]
+        want = [(x[0], x[1], y[1]) for x in context if x[1] % 10 == 0 for y in nodes if x[0] == y[0] and below(x, y) and not any(w[0] == x[0] and below(x, w) and below(w, y) for w in walls)]
+        assert sorted(map(tuple, got.select("doc", "from_key", "node_key").collect())) == sorted(want)
+
+
+def test_axes_of_a_large_document_dont_compare_all_pairs(spark):
+    """60,000 nodes of one document: 3.6 billion pairs, of which 0.1 million are in the result."""
+    from time import monotonic
+
+    n = spark.range(60_000).selectExpr(
+        "1 AS doc", "id AS node_key", "CASE WHEN id = 0 THEN NULL WHEN id % 100 = 1 THEN 0 ELSE id - (id - 1) % 100 END AS parent_key", "'element' AS kind", "'a' AS name",
+        "CASE WHEN id = 0 THEN 0 WHEN id % 100 = 1 THEN 1 ELSE 2 END AS level", "0L AS pos", "id AS pre",
+        "CASE WHEN id = 0 THEN 59999L WHEN id % 100 = 1 THEN least(id + 98, 59998L) ELSE id - 2 END AS post",
+    )
+    start = monotonic()
+    want = 59_999 + 59_999 - 600
+    assert axes.descendant(n, n).count() == want and axes.ancestor(n, n).count() == want
+    assert axes.pruned(n.where("level = 0"), n, F.col("level") == 1).count() == 600
+    assert monotonic() - start < 60
