@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,35 +61,57 @@ def to_json(diffs: DataFrame, keys: Sequence[str], database: str, resource: str,
 
 
 def match_unkeyed(old: DataFrame, new: DataFrame, group: Sequence[str], text: str, threshold: float = 0.5) -> DataFrame:
-    """Change detection without keys: within each group, equal texts match first, then the most similar by Levenshtein.
+    """Change detection without keys: within each group, equal texts match first, then the most similar by difflib's ratio.
 
-    A greedy matching per group in pandas (groups are documents and small);
-    (group, old_text, new_text, op).
+    A greedy matching per group, ties by text (groups are documents and small): equal
+    texts are counted, so a group costs its different texts.  Null texts match each
+    other only.  (group, old_text, new_text, op).
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    both = old.select(*group, F.col(text).alias("t"), F.lit(0).alias("side")).union(new.select(*group, F.col(text).alias("t"), F.lit(1).alias("side")))
+    both = old.select(*group, F.col(text).alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(new.select(*group, F.col(text).alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    counted = both.groupBy(*group, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    items = counted.groupBy(*group).agg(F.collect_list(F.struct("t", "a", "b")).alias("_items"))
     kinds = ", ".join(f"{g} {old.schema[g].dataType.simpleString()}" for g in group)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
         from difflib import SequenceMatcher
-
-        key = pdf.iloc[0][list(group)].to_dict()
-        a, b = sorted(pdf[pdf.side == 0].t), sorted(pdf[pdf.side == 1].t)
-        rows = []
-        for x in list(a):
-            if x in b:
-                a.remove(x)
-                b.remove(x)
-                rows.append((x, x, "same"))
-        scored = sorted(((SequenceMatcher(None, x, y, False).ratio(), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), key=lambda s: (-s[0], s[1], s[2]))
-        used_a, used_b = set(), set()
-        for s, i, j in scored:
-            if s >= threshold and i not in used_a and j not in used_b:
-                used_a.add(i)
-                used_b.add(j)
-                rows.append((a[i], b[j], "updated"))
-        rows += [(x, None, "deleted") for i, x in enumerate(a) if i not in used_a] + [(None, y, "inserted") for j, y in enumerate(b) if j not in used_b]
-        return pd.DataFrame([{**key, "old_text": x, "new_text": y, "op": op} for x, y, op in rows], columns=[*group, "old_text", "new_text", "op"])
-
-    return both.groupBy(*group).applyInPandas(run, f"{kinds}, old_text string, new_text string, op string")
+        from functools import lru_cache
+
+        @lru_cache(1 << 16)
+        def ratio(x: str, y: str) -> float:
+            return SequenceMatcher(None, x, y, False).ratio()
+
+        for batch in batches:
+            lists = batch.column(len(group))
+            off, flat = np.asarray(lists.offsets), lists.flatten()
+            off, (texts, n_a, n_b) = (off - off[0]).tolist(), [x.to_pylist() for x in flat.flatten()]
+            row, out = [], []
+            for g in range(batch.num_rows):
+                start = len(out)
+                a, b = {}, {}
+                for i in range(off[g], off[g + 1]):
+                    t, x, y = texts[i], n_a[i], n_b[i]
+                    out += [(t, t, "same")] * min(x, y)
+                    if x > y:
+                        a[t] = x - y
+                    elif y > x:
+                        b[t] = y - x
+                # of equal ratios the lesser texts first, as one by one
+                scored = [(-s, x, y) for x in a if x is not None for y in b if y is not None and (s := ratio(x, y)) >= threshold] if a and b else []
+                for _, x, y in sorted(scored):
+                    if m := min(a[x], b[y]):
+                        out += [(x, y, "updated")] * m
+                        a[x] -= m
+                        b[y] -= m
+                for x, m in a.items():
+                    out += [(x, None, "deleted")] * m
+                for y, m in b.items():
+                    out += [(None, y, "inserted")] * m
+                row += [g] * (len(out) - start)
+            if out:
+                at = pa.array(row, pa.int64())
+                made = [pa.array(x, pa.string()) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(group))], *made], names=[*group, "old_text", "new_text", "op"])
+
+    return items.mapInArrow(run, f"{kinds}, old_text string, new_text string, op string")

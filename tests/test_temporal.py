@@ -124,3 +124,47 @@ def test_unkeyed_matching(spark):
     b = spark.createDataFrame([(1, "alpha beta"), (1, "gamma delto"), (1, "qqqqqq")], "doc int, t string")
     got = sorted((r["op"], r["old_text"], r["new_text"]) for r in diff.match_unkeyed(a, b, ["doc"], "t").collect())
     assert got == [("deleted", "zzz", None), ("inserted", None, "qqqqqq"), ("same", "alpha beta", "alpha beta"), ("updated", "gamma delta", "gamma delto")]
+
+
+def _one_by_one(a, b, threshold=0.5):
+    """The matching of two lists of texts, row by row."""
+    from difflib import SequenceMatcher
+
+    a, b, rows = sorted(a), sorted(b), []
+    for x in list(a):
+        if x in b:
+            a.remove(x)
+            b.remove(x)
+            rows.append(("same", x, x))
+    scored = sorted(((-SequenceMatcher(None, x, y, False).ratio(), i, j) for i, x in enumerate(a) for j, y in enumerate(b)))
+    used_a, used_b = set(), set()
+    for s, i, j in scored:
+        if -s >= threshold and i not in used_a and j not in used_b:
+            used_a.add(i)
+            used_b.add(j)
+            rows.append(("updated", a[i], b[j]))
+    return rows + [("deleted", x, None) for i, x in enumerate(a) if i not in used_a] + [("inserted", None, y) for j, y in enumerate(b) if j not in used_b]
+
+
+def test_unkeyed_matching_counts_equal_texts(spark):
+    rng = random.Random(1)
+    some = lambda n: ["".join(rng.choices("abc", k=rng.randrange(5))) for _ in range(n)]
+    groups = {(g, None if g % 3 == 0 else g): (some(rng.randrange(9)), some(rng.randrange(9))) for g in range(40)}
+    frame = lambda side: spark.createDataFrame([(*g, t) for g, x in groups.items() for t in x[side]], "g int, h int, t string")
+    got = sorted(map(repr, ((r["g"], r["h"], r["op"], r["old_text"], r["new_text"]) for r in diff.match_unkeyed(frame(0), frame(1), ["g", "h"], "t").collect())))
+    assert got == sorted(repr((*g, *r)) for g, (a, b) in groups.items() for r in _one_by_one(a, b))
+
+
+def test_unkeyed_matching_of_a_large_group_and_nulls(spark):
+    """4,000 by 4,000 rows of 20 texts; null texts match each other."""
+    from time import monotonic
+
+    old = spark.range(4000).selectExpr("1 AS doc", "CASE WHEN id > 0 THEN concat('a text of a row, ', id % 10) END AS t")
+    new = spark.range(4000).selectExpr("1 AS doc", "CASE WHEN id > 1 THEN concat('a text of a line, ', id % 10) END AS t")
+    start = monotonic()
+    got = {}
+    for r in diff.match_unkeyed(old, new, ["doc"], "t").collect():
+        k = (r["op"], r["old_text"] is None, r["new_text"] is None)
+        got[k] = got.get(k, 0) + 1
+    assert monotonic() - start < 30
+    assert got == {("same", True, True): 1, ("inserted", True, True): 1, ("updated", False, False): 3998, ("deleted", False, True): 1}
