@@ -189,12 +189,16 @@ def descendant_count(nodes: DataFrame) -> DataFrame:
 
 
 def merkle(nodes: DataFrame, value_cols: list[str], depth: int) -> DataFrame:
-    """Subtree hash of every node, one aggregation per level from ``depth`` up."""
+    """Subtree hash of every node, one aggregation per level from ``depth`` up.
+
+    Shredded tables are larger than Catalyst estimates, so levels meet by sorted merges
+    that spill; a broadcast of one level would hold a document table in every task.
+    """
     own = nodes.withColumn("own", F.xxhash64("kind", "name", *value_cols)).select(*KEY, "parent_key", "level", "pos", "own")
     done = own.where(F.col("level") == depth).select("doc", "node_key", "parent_key", "pos", F.col("own").alias("hash"))
     out = done
     for level in range(depth - 1, -1, -1):
         kids = done.groupBy("doc", F.col("parent_key").alias("node_key")).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("pos", "hash")))).alias("below"))
-        done = own.where(F.col("level") == level).join(kids, KEY, "left").select("doc", "node_key", "parent_key", "pos", F.when(F.col("below").isNull(), F.col("own")).otherwise(F.xxhash64("own", "below")).alias("hash"))
+        done = own.where(F.col("level") == level).join(kids.hint("merge"), KEY, "left").select("doc", "node_key", "parent_key", "pos", F.when(F.col("below").isNull(), F.col("own")).otherwise(F.xxhash64("own", "below")).alias("hash"))
         out = out.union(done)
     return out

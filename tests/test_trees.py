@@ -139,3 +139,10 @@ def test_axes_of_a_large_document_dont_compare_all_pairs(spark):
     assert axes.descendant(n, n).count() == want and axes.ancestor(n, n).count() == want
     assert axes.pruned(n.where("level = 0"), n, F.col("level") == 1).count() == 600
     assert monotonic() - start < 60
+
+
+def test_merkle_broadcasts_no_level(spark):
+    n = shred.shred(spark.createDataFrame([(1, '{"a":[1,2]}'), (2, "[3]")], "id int, t string"), "id", "t")
+    hashes = axes.merkle(n, ["v_str", "v_num"], 2)
+    assert "BroadcastHashJoin" not in hashes._jdf.queryExecution().executedPlan().toString()
+    assert hashes.count() == 6
