@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors are broadcast; more than this are searched in blocks of about half as many.
 MOST_QUERIES = 20_000
+#: Vectors and queries whose products are in memory at a time: some arrays of 4 MB.
+ROWS, ASKED = 1024, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,7 +48,7 @@ def search(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", i
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, distance, rank) for any number of queries, a block of them at a time: each batch keeps k rows a query before any shuffle."""
+    """(query_id, id, distance, rank) for any number of queries, a block of them at a time: each task keeps k rows a query before any shuffle."""
     queries = queries.select(id_col, vec_col)
     n = queries.count()
     blocks = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
@@ -66,8 +68,8 @@ def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return 1 - dots / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(q, axis=1), 1e-300) if metric == "cosine" else 1 - dots
 
 
-def top_k(keys: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance): each query's k nearest of a block.
+def top_k(keys: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, metric: str, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance): each query's k nearest of a block, of those not beyond the distance ``far``, if given.
 
     Products find who may be among them, with room for their rounding; those few
     are measured exactly and ordered by distance and id.
@@ -80,39 +82,61 @@ def top_k(keys: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, metric: str) -
         near, slack = -dots / np.maximum(np.sqrt(xx * qq), 1e-300), 1e-9
     else:
         near, slack = -dots, 1e-9 * (xx + qq)
-    edge = np.partition(near, k - 1, axis=0)[k - 1] if len(x) > k else np.full(len(q), np.inf)
+    if far is not None and np.isfinite(far).all():
+        edge = far**2 if metric == "l2" else far - 1
+    else:
+        edge = np.partition(near, k - 1, axis=0)[k - 1] if len(x) > k else np.full(len(q), np.inf)
     row, col = np.nonzero(near <= edge + 2 * slack)
     d = distances(x[row], q[col], metric)
-    order = np.lexsort((keys[row], d, col))
+    return _least(col, keys[row], d, k)
+
+
+def _least(col: np.ndarray, keys: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) with the k nearest of each query alone."""
+    order = np.lexsort((keys, d, col))
     sorted_col = col[order]
     first = order[np.arange(len(order)) - np.searchsorted(sorted_col, sorted_col) < k]
-    return col[first], keys[row[first]], d[first]
+    return col[first], keys[first], d[first]
 
 
 def _matrix(column, rows: int) -> np.ndarray:
     return np.array(column.flatten().to_numpy(), float).reshape(rows, -1)
 
 
-def _nearest(vectors: DataFrame, rows: list, k: int, metric: str, id_col: str, vec_col: str) -> DataFrame:
-    """The k nearest in each batch of one block of queries."""
-    spark = vectors.sparkSession
-    ids = np.array([r[0] for r in rows], np.int64)
-    shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], float).reshape(len(rows), -1)))
+def _searched(shared, k: int, metric: str):
+    """(query_id, id, distance): each query's k nearest in a task; ``shared``: a broadcast of the queries' ids and vectors."""
 
     def run(batches):
         import pyarrow as pa
 
         qid, q = shared.value
+        parts = [slice(a, a + ASKED) for a in range(0, len(qid), ASKED)]
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in parts]
         for b in batches:
-            if not b.num_rows or not len(qid):
-                continue
-            keys, x = b.column(0).to_numpy(), _matrix(b.column(1), b.num_rows)
-            for a in range(0, len(qid), 1024):
-                col, near, d = top_k(keys, x, q[a : a + 1024], k, metric)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[a + col]), pa.array(near), pa.array(d)], names=["query_id", "id", "distance"])
+            for at in range(0, b.num_rows if len(qid) else 0, ROWS):
+                few = b.slice(at, ROWS)
+                keys, x = few.column(0).to_numpy(), _matrix(few.column(1), few.num_rows)
+                for i, part in enumerate(parts):
+                    col, _, d = best[i]
+                    far = d[k - 1 :: k] if len(col) == k * len(qid[part]) else None  # the k-th of each, in order
+                    found = top_k(keys, x, q[part], k, metric, far)
+                    if len(found[0]):
+                        best[i] = _least(*(np.concatenate(y) for y in zip(best[i], found, strict=True)), k)
+        for (col, near, d), part in zip(best, parts, strict=True):
+            if len(col):
+                yield pa.RecordBatch.from_arrays([pa.array(qid[part][col]), pa.array(near), pa.array(d)], names=["query_id", "id", "distance"])
+
+    return run
+
 
+def _nearest(vectors: DataFrame, rows: list, k: int, metric: str, id_col: str, vec_col: str) -> DataFrame:
+    """The k nearest in each task of one block of queries; vectors are dealt to all cores, as a file of them may be one task."""
+    context = vectors.sparkSession.sparkContext
+    ids = np.array([r[0] for r in rows], np.int64)
+    shared = context.broadcast((ids, np.array([r[1] for r in rows], float).reshape(len(rows), -1)))
     there = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
-    return there.select(F.col(id_col).cast("long"), vec_col).mapInArrow(run, "query_id long, id long, distance double")
+    there = there.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).repartition(2 * context.defaultParallelism, "id")
+    return there.mapInArrow(_searched(shared, k, metric), "query_id long, id long, distance double")
 
 
 # --- inverted lists ---------------------------------------------------------------------------

@@ -76,6 +76,34 @@ def test_batch_knn_takes_any_number_of_queries(spark, monkeypatch):
     assert sorted(map(tuple, vector.knn(df, df, 3).select("query_id", "id", "rank").collect())) == want and len(want) == 270
 
 
+def test_batch_knn_is_bounded_in_memory_and_dealt_to_all_cores(spark):
+    """A batch of 10,000 vectors by 4,096 queries, over several blocks of both, in memory that does not depend on either."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (10_000, 8)).astype(float)  # with many ties
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * (b - a) + 1, 8), pa.int32()), pa.array(x[a:b].ravel()))], names=["id", "vec"])
+    batches = [batch(0, 9_000), batch(9_000, 10_000)]
+    for metric in vector.DISTANCES:
+        shared = SimpleNamespace(value=(np.arange(4096) + 7, x[:4096] + 0.25))
+        tracemalloc.start()
+        got = pa.Table.from_batches(list(vector._searched(shared, 5, metric)(iter(batches))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20
+        ids, d = got["id"].to_numpy().reshape(4096, 5), got["distance"].to_numpy().reshape(4096, 5)
+        for q in range(0, 4096, 97):
+            want = vector.distances(x, np.tile(x[q] + 0.25, (len(x), 1)), metric)
+            order = np.lexsort((np.arange(len(x)), want))[:5]
+            assert ids[q].tolist() == order.tolist() and np.array_equal(d[q], want[order])
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x[:300])], "vec_id long, embedding array<double>").coalesce(1)
+    assert vector._nearest(df, df.limit(3).collect(), 5, "l2", "vec_id", "embedding").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_list_index_recall_and_updates(spark, sf):
     from tempora.operators import vector
 
